@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a worker handles (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
+#: Texts that one step handles.
+SLICE_ROWS = 4000
 #: The white space of the contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,9 +132,10 @@ def shingles(w: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each text's distinct k-word shingles, sorted by text and hash.
 
     A text of fewer words has its whole sequence as one; one without words has none. Hashes
-    keep 64 bits less those that number the slice's texts.
+    keep 64 bits less those that number a slice's texts, the same ones in any slice.
     """
-    bits = max(1, int(len(w.counts)).bit_length())
+    bits = SLICE_ROWS.bit_length()
+    assert len(w.counts) <= SLICE_ROWS
     doc, left = w.doc(), w.left()
     full = np.zeros(len(h), np.uint64)
     full[: max(0, len(h) - k + 1)] = windows(h, k)
@@ -149,7 +152,7 @@ def shingles(w: Words, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint64(64 - bits)).astype(np.int64), low << np.uint64(bits)
 
 
-def shingle_set(text: str | None, k: int, bits: int = 12) -> set:
+def shingle_set(text: str | None, k: int) -> set:
     """The distinct k-word shingles of one text as tuples: the plain form, for tests."""
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
@@ -164,7 +167,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SL
         offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+            hi = min(lo + SLICE_ROWS, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1))
             yield batch.slice(lo, hi - lo)
             lo = hi
 

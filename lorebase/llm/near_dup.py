@@ -20,7 +20,7 @@ aggregate; hubs are salted. Written tables cut the lineage, and components are f
 
 Edge cases: texts without words link with nothing; shorter texts have their whole sequence as one shingle;
 repeated ids link rows as one document; a null id takes no part, has no component and is kept; further columns are ignored.
-Shingles are 64-bit hashes less the bits (about 11) that number a slice's texts.
+Shingles are 52-bit hashes (of 64, 12 number a slice's texts).
 """
 
 from __future__ import annotations
