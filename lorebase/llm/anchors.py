@@ -9,7 +9,8 @@ Scale: probes travel packed, a few bytes a word (a bucket number and 32 bits of
 doesn't imply), one row per slice of texts and bucket. A bucket holds its distinct blocks in memory
 and streams the probes past them, so a passage that a third of all documents share takes one entry. Hits come
 back by document; only there are texts read again, and only windows near hits are compared, by 96-bit
-hashes, again as a stream past one entry a distinct window, in order of document. Buckets grow in number with the input.
+hashes: each slice of texts first settles its own repeats and sends one document a distinct window.
+Buckets grow in number with the input.
 
 Edge cases: null texts have no words; texts under 50 words lose none; rows that repeat an id are judged each by
 its own text, and not against each other; rows without id keep all their words and are no reference; further columns are ignored.
@@ -35,7 +36,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def _bits(docs: DataFrame) -> int:
-    return max(3, min(22, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
+    return max(5, min(16, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
 
 
 def _rolling(w: Words, h: np.ndarray, k: int, salt: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -201,78 +202,92 @@ def _tag(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def _repeats(staged: DataFrame, bits: int, window: int) -> DataFrame:
-    """(id, tag, starts): the candidate windows that also start in a smaller document."""
-    buckets = 1 << max(2, bits - 1)
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+_ENTRIES = "bucket int, ids binary, tags binary, counts binary, starts binary, keys binary, checks binary"
+
+
+def _repeats(staged: DataFrame, window: int) -> DataFrame:
+    """(id, tag, starts): the candidate windows that also start in a smaller document.
+
+    A slice of texts tells its own repeats at once and sends on, for each distinct window, only its
+    smallest document's places, so what meets in a bucket is one entry a slice however often a passage occurs.
+    """
+    bits = max(5, min(16, (input_bytes(staged) // BUCKET_BYTES).bit_length() + 2))
+
+    def packed(bucket: int, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple:
+        """Entries in order of text; bucket -1 holds repeats that are known already."""
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])]))
+        counts = np.diff(np.append(cut, len(ids))).astype(np.uint32)
+        return (bucket, ids[cut].tobytes(), tags[cut].tobytes(), counts.tobytes(), starts.tobytes(), keys.tobytes(), checks.tobytes())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             w = Words(batch.column(1))
             h = w.hashes()
-            full, check = windows(h, window, 2), windows(h, window, 3)
-            ids, texts, starts = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
+            found = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            doc = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            starts = np.concatenate(found)
+            at = starts.astype(np.int64) + w.bounds[doc]
+            key, check = windows(h, window, 2)[at], (windows(h, window, 3)[at] >> np.uint64(32)).astype(np.uint32)
+            ids = batch.column(0).to_numpy()[doc]
+            tags = np.array([_tag(t) for t in batch.column(1).to_pylist()], np.uint32)[doc]
+            order = np.lexsort((ids, check, key))
+            k, c = key[order], check[order]
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+            least = np.empty(len(ids), np.int64)
+            least[order] = ids[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
             rows = []
-            for i in range(batch.num_rows):
-                s = np.frombuffer(starts[i].as_buffer(), np.uint32)
-                at = s.astype(np.int64) + w.bounds[i]
-                key, tag = full[at], _tag(texts[i].as_py())
-                b = (key >> shift).astype(np.int32)
-                order = np.argsort(b, kind="stable")
-                cut = _cut(b[order])
-                for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                    o = order[lo:hi]
-                    rows.append((int(b[o[0]]), ids[i], tag, s[o].tobytes(), key[o].tobytes(), (check[at[o]] >> np.uint64(32)).astype(np.uint32).tobytes()))
+            known = np.flatnonzero(ids > least)
+            if len(known):
+                rows.append(packed(-1, ids[known], tags[known], starts[known], key[:0], check[:0]))
+            rest = np.flatnonzero(ids == least)
+            bucket = (key[rest] >> np.uint64(64 - bits)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            rest, bucket = rest[order], bucket[order]
+            cut = _cut(bucket)
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                o = rest[lo:hi]
+                rows.append(packed(int(bucket[lo]), ids[o], tags[o], starts[o], key[o], check[o]))
             cols = list(zip(*rows, strict=True))
-            types = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["bucket", "id", "tag", "starts", "keys", "checks"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "ids", "tags", "counts", "starts", "keys", "checks"])
+
+    rows = staged.where("starts is not null").select("doc_id", "text", "starts").mapInArrow(spread, _ENTRIES)
+    # known repeats need no company: they stay spread
+    salt = F.when(F.col("bucket") < 0, F.xxhash64("ids", "starts"))
+    rows = rows.repartition(parts(staged.sparkSession, 1 << bits, 8), "bucket", salt).sortWithinPartitions("bucket")
 
-    rows = staged.where("starts is not null").select("doc_id", "text", "starts").mapInArrow(spread, "bucket int, id long, tag long, starts binary, keys binary, checks binary")
-    rows = rows.repartition(parts(staged.sparkSession, buckets, 8), "bucket").sortWithinPartitions("bucket", "id")
+    def told(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((starts, tags, ids))
+        ids, tags, starts = ids[order], tags[order], starts[order]
+        cut = np.append(np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])])), len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[cut[:-1]], pa.int64()), pa.array(tags[cut[:-1]].astype(np.int64)), binaries(starts, cut)], ["id", "tag", "starts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
-        index = (np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64))  # distinct windows and their smallest document
-
-        def compare(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            nonlocal index
-            sizes = np.array([len(batch.column(4)[j].as_buffer()) // 8 for j in range(batch.num_rows)])
-            join = lambda c, t: np.frombuffer(b"".join(batch.column(c).to_pylist()), t)
-            starts, keys, checks = join(3, np.uint32), join(4, np.uint64), join(5, np.uint32)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            doc = batch.column(1).to_numpy()[row]
-            order = np.argsort(keys, kind="stable")  # rows come by document, so each run's first is its smallest
-            k, c, d = keys[order], checks[order], doc[order]
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            ids, tags, starts, keys, checks = (np.concatenate([x[j] for x in held]) for j in range(5))
+            order = np.lexsort((ids, checks, keys))
+            k, c, d = keys[order], checks[order], ids[order]
             new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = d > d[first]
-            old_k, old_c, old_d = index
-            fresh = new.copy()
-            if len(old_k):
-                at = np.minimum(np.searchsorted(old_k, k), len(old_k) - 1)
-                known = (old_k[at] == k) & (old_c[at] == c)
-                again |= known & (old_d[at] < d)
-                fresh &= ~known
-            merged = np.concatenate([old_k, k[fresh]])
-            o = np.argsort(merged, kind="stable")
-            index = merged[o], np.concatenate([old_c, c[fresh]])[o], np.concatenate([old_d, d[fresh]])[o]
-            hit = np.sort(order[again])
-            if not len(hit):
-                return None
-            cut = _cut(row[hit])
-            own = pa.array(row[hit][cut[:-1]])
-            return pa.RecordBatch.from_arrays([batch.column(1).take(own), batch.column(2).take(own), binaries(starts[hit], cut)], ["id", "tag", "starts"])
+            again = order[d > d[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+            if len(again):
+                yield told(ids[again], tags[again], starts[again])
 
         for batch in batches:
-            cut = _cut(batch.column(0).to_numpy())
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                part = batch.slice(lo, hi - lo)
-                if part.column(0)[0].as_py() != now:
-                    now = part.column(0)[0].as_py()
-                    index = (index[0][:0], index[1][:0], index[2][:0])
-                out = compare(part)
-                if out is not None:
-                    yield out
+            for j in range(batch.num_rows):
+                bucket = batch.column(0)[j].as_py()
+                if bucket != now:
+                    yield from flush()
+                    now, held = bucket, []
+                part = [np.frombuffer(batch.column(c)[j].as_buffer(), t) for c, t in enumerate((np.int64, np.uint32, np.uint32, np.uint32, np.uint64, np.uint32), 1)]
+                ids, tags = np.repeat(part[0], part[2]), np.repeat(part[1], part[2])
+                if bucket < 0:
+                    yield told(ids, tags, part[3])
+                else:
+                    held.append((ids, tags, *part[3:]))
+        yield from flush()
 
     return rows.mapInArrow(run, "id long, tag long, starts binary")
 
@@ -291,7 +306,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     hits = _hits(_probes(docs, bits, block), bits)
     staged = materialize(_stage(docs, hits, bits, window, block), "staged")
     release(spark)
-    found = materialize(_repeats(staged, bits, window), "repeats")
+    found = materialize(_repeats(staged, window), "repeats")
     release(spark)
     by_text = found.groupBy("id", "tag").agg(F.collect_list("starts").alias("again"))
     open_ = staged.where("starts is not null").withColumn("crc", F.crc32(F.encode("text", "UTF-8")))
