@@ -9,8 +9,10 @@ threshold on is hopeless against the best one; all others are verified on full s
 
 Components without all pairs: in each band's group the node with most company is the hub, and only
 (member, hub) pairs are verified at first. Members of a group that then still lie in different components
-are compared with each other by sketch, in blocks of at most BLOCK nodes, and what the likelihood lets pass
-is verified. Members in one component need no comparison, so a group of any number of near copies costs about its size.
+are compared with each other by sketch, in blocks of at most BLOCK nodes, and each node's FEW likeliest
+partners are verified. A node with more partners than that is marked, and where it still lies apart it meets the sets of all
+plausible members of its group inside a task, which tells one link a component: what is written
+and shuffled stays in proportion to the group, and no partner is left out. Members in one component need no comparison.
 
 With 4 registers a band and 24 bands a pair at the threshold of 0.8 is missed with probability 1e-6.
 
@@ -26,11 +28,11 @@ Shingles are 52-bit hashes (of 64, 12 number a slice's texts).
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, Words, binaries, components, drop_table, materialize, mix, parts, release, shingles, slices, tune
@@ -39,6 +41,8 @@ BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
 BASE_B, OFFSET = 1.1, 40
 BLOCK, SALT_ROWS, BROADCAST_IDS = 1024, 512, 250_000
+#: Partners of a node that are verified as pairs; shingles that a block of sets may hold (8 bytes each).
+FEW, BLOCK_SHINGLES = 4, 1 << 20
 #: Log-likelihood by which the best similarity may beat all that reach the threshold (about 4 sigma).
 SLACK = 8.0
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -177,62 +181,104 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> Da
     return edges
 
 
+def _blocks(groups: DataFrame, chunks: Column, columns: list[str]) -> DataFrame:
+    """The members of each band dealt to `chunks` blocks, one row for each pair of blocks that a member is in."""
+    g = groups.withColumn("chunks", chunks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    g = g.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    g = g.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "k", "node", "n", "label", "regs", *columns)
+    return g.repartition(parts(groups.sparkSession, 1, 1), "band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _each_block(batches: Iterator[pa.RecordBatch], work: Callable[[tuple, pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """work for each run of rows with one (band, i, j), the first three columns."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy() for c in range(3)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        for lo, hi in zip([0, *change], [*change, batch.num_rows], strict=True):
+            now = tuple(int(c[lo]) for c in cols)
+            if key is not None and now != key:
+                yield work(key, pa.Table.from_batches(held))
+                held = []
+            key = now
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield work(key, pa.Table.from_batches(held))
+
+
+class _Members:
+    """The members of one pair of blocks, and which of them a member is to be compared with."""
+
+    def __init__(self, key: tuple, t: pa.Table, threshold: int):
+        self.node, self.n, self.label = (t[c].to_numpy() for c in ("node", "n", "label"))
+        self.regs, self.k, self.threshold = _matrix(t["regs"]), int(t["k"][0].as_py()), threshold
+        self.bands = self.regs.reshape(len(self.regs), BANDS, ROWS)
+        own, self.same = t["own"].to_numpy(), key[1] == key[2]
+        self.left = np.arange(len(own)) if self.same else np.flatnonzero(own == key[1])
+        self.right = self.left if self.same else np.flatnonzero(own == key[2])
+
+    def partners(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of others in a component of their own that sizes and sketches let pass; pairs of an earlier band are left to that one."""
+        at = others[(self.label[others] != self.label[i]) & (np.minimum(self.n[others], self.n[i]) * 100 >= self.threshold * np.maximum(self.n[others], self.n[i]))]
+        if len(at) and self.k:
+            at = at[~(self.bands[at, : self.k] == self.bands[i, : self.k]).all(2).any(1)]
+        if len(at):
+            at = at[likely(self.regs[i][None], self.regs[at], np.full(len(at), self.n[i]), self.n[at], self.threshold / 100)]
+        return at[np.argsort(-(self.regs[at] == self.regs[i]).sum(1), kind="stable")]
+
+
 def _across(groups: DataFrame, threshold: int) -> DataFrame:
-    """Pairs of nodes of one band that lie in different components and that sizes and sketches let pass.
+    """Pairs (a, b) of a band's members that lie in different components and may be links, FEW a member and block.
 
-    groups: band, node, n, regs, label, c (members). Groups over BLOCK members are dealt to
-    blocks, and pairs of blocks meet; a pair that an earlier band holds too is left to that one.
+    A row without b tells that member a has more of them in that band. groups: band, node, n, regs, label, c (members).
     """
-    spark = groups.sparkSession
-    g = groups.withColumn("chunks", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    g = g.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    g = g.select("band", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "regs")
-    g = g.repartition(parts(spark, 1, 1), "band", "i", "j").sortWithinPartitions("band", "i", "j")
-
-    def pairs_of(key: tuple, node: np.ndarray, n: np.ndarray, label: np.ndarray, own: np.ndarray, k: int, regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left = np.flatnonzero(own == key[1]) if key[1] != key[2] else np.arange(len(node))
-        right = np.flatnonzero(own == key[2]) if key[1] != key[2] else left
-        found_a, found_b = [], []
-        bands = regs.reshape(len(regs), BANDS, ROWS)
-        for i in left:
-            at = right[(label[right] != label[i]) & (np.minimum(n[right], n[i]) * 100 >= threshold * np.maximum(n[right], n[i]))]
-            if key[1] == key[2]:
-                at = at[at > i]
-            if len(at) and k:
-                at = at[~(bands[at, :k] == bands[i, :k]).all(2).any(1)]
-            if len(at):
-                at = at[likely(regs[i][None], regs[at], np.full(len(at), n[i]), n[at], threshold / 100)]
-                found_a.append(np.full(len(at), node[i]))
-                found_b.append(node[at])
-        if not found_a:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(found_a), np.concatenate(found_b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        key = None
+    def work(key: tuple, t: pa.Table) -> pa.RecordBatch:
+        m = _Members(key, t, threshold)
+        rows: list[tuple] = []
+        for i in m.left:
+            at = m.partners(i, m.right[m.right > i] if m.same else m.right)
+            rows += [(key[0], min(m.node[i], m.node[j]), max(m.node[i], m.node[j])) for j in at[:FEW]]
+            if len(at) > FEW:
+                rows.append((key[0], m.node[i], None))
+        cols = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["band", "a", "b"])
 
-        def flush() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            a, b = pairs_of(key, t["node"].to_numpy(), t["n"].to_numpy(), t["label"].to_numpy(), t["own"].to_numpy(), int(t["k"][0].as_py()), _matrix(t["regs"]))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    return _blocks(groups, F.ceil(F.col("c") / BLOCK), []).mapInArrow(lambda batches: _each_block(batches, work), "band long, a long, b long")
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy() for c in (0, 2, 3)]
-            change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            for lo, hi in zip([0, *change], [*change, batch.num_rows], strict=True):
-                now = tuple(int(c[lo]) for c in cols)
-                if key is not None and now != key:
-                    yield flush()
-                    held = []
-                key = now
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield flush()
-
-    return g.mapInArrow(run, "a long, b long").distinct()
+
+def _across_marked(groups: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between marked members and members of other components of their bands, one a component at least.
+
+    groups: band, node, n, regs, label, c, total (of n), marked, h (the set). Sets meet inside a task: a
+    member is compared with the likeliest first, and no more with a component once a link to it is found.
+    """
+
+    def work(key: tuple, t: pa.Table) -> pa.RecordBatch:
+        m = _Members(key, t, threshold)
+        marked, sets = t["marked"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for c in t["h"].chunks for x in c]
+        found: list[tuple] = []
+        for i, others in ((i, o) for own, o in ((m.left, m.right), (m.right, m.left))[: 1 if m.same else 2] for i in own[marked[own]]):
+            at, own = m.partners(i, others), sets[i]
+            step = 8
+            while len(at):
+                some, at, step = at[:step], at[step:], min(256, 2 * step)
+                bounds = np.cumsum([0, *(len(sets[j]) for j in some)])
+                h = np.concatenate([sets[j] for j in some])
+                common = np.add.reduceat((own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h).astype(np.int64), bounds[:-1])
+                linked = some[100 * common >= threshold * (len(own) + np.diff(bounds) - common)]
+                if len(linked):
+                    linked = linked[np.unique(m.label[linked], return_index=True)[1]]
+                    found += [(m.node[i], m.node[j]) for j in linked]
+                    at = at[~np.isin(m.label[at], m.label[linked])]
+        cols = list(zip(*found, strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+
+    chunks = F.ceil(F.greatest(F.col("c") / BLOCK, F.col("total") / BLOCK_SHINGLES))
+    return _blocks(groups, chunks, ["marked", "h"]).mapInArrow(lambda batches: _each_block(batches, work), "a long, b long")
 
 
 def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -260,14 +306,25 @@ def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple
     edges = edges.unionByName(tied)
     labels = components(edges)
 
-    known = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    groups = known.join(open_, "band", "left_semi").join(nodes.select("node", "regs"), "node")
-    rest = materialize(_across(groups, threshold), "across")
+    def still_open(labels: DataFrame, bands: DataFrame) -> DataFrame:
+        """The bands whose members lie in several components, with labels."""
+        known = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("total")).where("lo < hi").select("band", "total")
+        return known.join(open_, "band").join(nodes.select("node", "regs"), "node")
+
+    found = materialize(_across(still_open(labels, bands), threshold), "across")
+    rest = found.where("b is not null").select("a", "b").distinct()
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = _verify(rest, docs, words, threshold)
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+    edges = edges.unionByName(_verify(rest, docs, words, threshold))
+    labels = materialize(components(edges), "labels")
+    marks = found.where("b is null").select("band", F.col("a").alias("node"), F.lit(True).alias("marked")).distinct()
+    groups = still_open(labels, bands.join(marks.select("band").distinct(), "band", "left_semi"))
+    groups = materialize(groups.join(marks, ["band", "node"], "left").withColumn("marked", F.coalesce("marked", F.lit(False))), "marked")
+    if not groups.isEmpty():
+        sets = _sets(docs, groups.select("node").distinct(), words)
+        links = materialize(_across_marked(groups.join(sets, "node"), threshold), "links")
+        if not links.isEmpty():
+            labels = components(edges.unionByName(links))
     drop_table(bands)
     release(spark)
     return sketches, nodes, labels
