@@ -210,13 +210,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     """Fits a network on a bounded sample of rows of docs that labels marks and the condition `train` admits."""
     net = Net()
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(train & F.col("text").isNotNull() & F.length("text").between(1, longest)).select("doc_id", "text").join(marks, F.col("doc_id") == F.col("label_id"))
-    rows = rows.select("toxic", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    fit = docs.where(train & F.col("text").isNotNull() & F.length("text").between(1, longest))
+    # only ids are shuffled; the texts of the chosen ones, of which there are at most 2 * per_class, are read again
+    rows = fit.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (total.get(0) and total.get(1)):
         return net
     ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("toxic").orderBy("h"))).where(F.col("rn") <= per_class)
-    got = [r for r in sorted((r["h"], r["toxic"], r["text"]) for r in ranked.collect()) if re.search(r"\w", r[2])]
+    chosen = {r["doc_id"]: (r["h"], r["toxic"]) for r in ranked.collect()}
+    texts = fit.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    got = [r for r in sorted((*chosen[r["doc_id"]], r["text"]) for r in texts.collect()) if re.search(r"\w", r[2])]
     y = np.array([r[1] for r in got], np.float64)
     words = word_ids(pa.array([r[2] for r in got]))
     own, b = [words[1][a:c] for a, c in zip(words[0].bounds[:-1], words[0].bounds[1:], strict=True)], words[0].bounds
@@ -224,10 +227,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     langs = guess_language(words[0], words[0].hashes())
     ok = np.array([len(x) > 0 for x in own])
     held = np.arange(len(y)) % 4 == 3
-    fit = np.flatnonzero(ok & ~held)
-    if not 0 < y[fit].sum() < len(fit):
+    first = np.flatnonzero(ok & ~held)
+    if not 0 < y[first].sum() < len(first):
         return net
-    net.train([own[i] for i in fit], [stems[i] for i in fit], y[fit])
+    net.train([own[i] for i in first], [stems[i] for i in first], y[first])
     test = np.flatnonzero(ok & held)
     if len(test):
         z, _ = net.pooled(np.concatenate([own[i] for i in test]), np.concatenate([stems[i] for i in test]), np.cumsum([0, *(len(own[i]) for i in test)]))
