@@ -131,16 +131,20 @@ def leaks_in(texts: pa.Array, indexes: list[Index], longest: int, least: float,
     return [(i, item, score, over) for (i, item), (score, over) in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: float = 0.8, least_part: float = 0.5, block: int = 20_000) -> DataFrame:
-    """doc_id, item_id, score (share of the item's own), overlaps: one row per leak, none for clean documents."""
-    spark = docs.sparkSession
-    tune(spark)
+def _indexes(benchmark: DataFrame, share: float, block: int) -> Iterator[tuple[list[Index], int]]:
+    """Indexes of about `block` items or 16 MB of them at a time, and the longest item of each."""
     size = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
     blocks = max(1, -(-size["n"] // block), -(-(size["c"] or 0) // (16 << 20)))
-    found = []
     for k in range(blocks):
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()  # at most about a block
-        indexes, longest = build([tuple(r) for r in rows], share)
+        yield build([tuple(r) for r in rows], share)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: float = 0.8, least_part: float = 0.5, block: int = 20_000) -> DataFrame:
+    """doc_id, item_id, score (share of the item's own), overlaps: one row per leak, none for clean documents."""
+    tune(docs.sparkSession)
+    found = []
+    for indexes, longest in _indexes(benchmark, share, block):
 
         def search(batches: Iterator[pa.RecordBatch], indexes=indexes, longest=longest) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, most=1 << 20):
@@ -153,7 +157,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least:
     return reduce(DataFrame.unionByName, found)
 
 
-def flag_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows that hold a leak (each row judged by its own text)."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: float = 0.8, least_part: float = 0.5, block: int = 20_000) -> DataFrame:
+    """docs without the rows whose own text holds a leak; nothing is shuffled."""
+    tune(docs.sparkSession)
+    at = docs.columns.index("text")
+    for indexes, longest in _indexes(benchmark, share, block):
+
+        def clean(batches: Iterator[pa.RecordBatch], indexes=indexes, longest=longest) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, most=1 << 20):
+                keep = np.ones(batch.num_rows, bool)
+                if indexes:
+                    keep[[g[0] for g in leaks_in(batch.column(at), indexes, longest, least, least_part)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
