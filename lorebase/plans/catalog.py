@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import analytics, retrieval, texts, upkeep
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (retrieval, analytics, texts, upkeep):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
