@@ -160,9 +160,13 @@ def training_sample(docs: DataFrame, per_lang: int, longest: int, max_langs: int
     """Texts and languages of a bounded sample of rows with both."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, longest))
     top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    ranked = rows.where(F.col("lang").isin(top)).select("lang", "text", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    ranked = ranked.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_lang)
-    got = sorted((r["lang"], r["h"], r["text"]) for r in ranked.collect())
+    # only ids are shuffled; the texts of the chosen ones, of which there are at most per_lang * max_langs, are read again
+    ids = rows.where(F.col("lang").isin(top) & F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
+    ranked = ids.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_lang)
+    chosen = [(r["lang"], r["doc_id"], r["h"]) for r in ranked.collect()]
+    names = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long, h long"))
+    texts = rows.join(names, ["lang", "doc_id"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    got = sorted((r["lang"], r["h"], r["text"]) for r in texts.collect())
     got = [g for g in got if any(map(str.isalpha, g[2]))]
     return [g[2] for g in got], [g[0] for g in got]
 
