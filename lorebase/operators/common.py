@@ -17,6 +17,12 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores if it comes in fewer partitions, as a small file does; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = (), rank: str = "rank") -> DataFrame:
     """The first n rows of each group with their rank; Spark limits each group before it shuffles."""
     w = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(*order)

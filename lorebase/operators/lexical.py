@@ -1,19 +1,29 @@
 """Full-text retrieval: BM25 over content, project and tags for a table of queries.
 
-Queries come as (query_id, query). Texts are tokenized where they lie, and only tokens of the queries' vocabulary
-(broadcast if it is counted to be small) are kept, so what is shuffled is one row for each document and matching
-term after a partial sum. Scores are negative, smaller is better.
+Queries come as (query_id, query). Texts are tokenized in the JVM where they lie; blocks of queries meet Arrow batches of
+token lists as matrix products, and a task returns only what can be among a query's first rows, so
+neither texts nor postings are shuffled. Long OR queries match most documents: as joined rows they
+took six times as long. Scores are negative, smaller is better.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from .common import small, top
+from .common import small, spread, top
+
+QUERY_BLOCK = 1024
+#: Numbers in a matrix of a task (8 bytes each).
+CELLS = 4 << 20
 
 
 def terms_of(queries: DataFrame) -> DataFrame:
@@ -36,32 +46,106 @@ def postings(memories: DataFrame, terms: DataFrame | None = None, tokenize=T.tok
     return rows.groupBy("id", "dl", "term").agg(F.sum("w").alias("f"))
 
 
-def bm25(memories: DataFrame, queries: DataFrame, tokenize=T.tokens) -> DataFrame:
-    """(query_id, id, bm25, matched, n_terms) for every document with a term of the query."""
-    terms = terms_of(queries)
-    stats = memories.select(sum((F.size(tokenize(F.col(c))) for c in K.BM25_WEIGHTS), F.lit(0)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).first()
-    n, avg = stats["n"], stats["avg"] or 1.0
-    post = postings(memories, terms, tokenize)
-    often = post.groupBy("term").agg(F.count("*").alias("df"))
-    sized = terms.withColumn("n_terms", F.count("*").over(W.partitionBy("query_id")))
-    idf = F.greatest(F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weighed = sized.join(often.select("term", idf.alias("idf")), "term")
-    norm = K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / F.lit(float(avg)))
-    part = F.col("idf") * F.col("f") * (K.BM25_K1 + 1) / (F.col("f") + norm)
-    hits = post.join(small(weighed), "term").groupBy("query_id", "id", "n_terms").agg(F.sum(part).alias("s"), F.count("*").alias("matched"))
-    return hits.select("query_id", "id", F.round(-F.col("s"), 6).alias("bm25"), "matched", "n_terms")
+def _blocks_of(queries: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """The queries' ids and distinct terms, QUERY_BLOCK at a time."""
+    rows = queries.select("query_id", F.array_distinct(T.query_terms(F.col("query"))).alias("t")).where(F.size("t") > 0).toLocalIterator()
+    while block := [(r[0], r[1]) for _, r in zip(range(QUERY_BLOCK), rows, strict=False)]:
+        yield block
+
+
+def bm25(memories: DataFrame, queries: DataFrame, tokenize=T.tokens, condition: Column | None = None, keep: int | None = None) -> DataFrame:
+    """(query_id, id, bm25, matched, n_terms) for every document that meets the condition and has a term of the query.
+
+    With `keep`, each task leaves out what can't be among a query's first `keep`, neither of all rows nor of those with all terms.
+    """
+    fields = [tokenize(F.col(c)).alias(f"t_{c}") for c in K.BM25_WEIGHTS]
+    dealt = spread(memories)
+    every = dealt.select("id", *fields)
+    docs = every if condition is None else dealt.where(condition).select("id", *fields)
+    found = None
+    for block in _blocks_of(queries):
+        vocabulary = sorted({t for _, own in block for t in own})
+        place = {t: i for i, t in enumerate(vocabulary)}
+        counts = dict(every.mapInArrow(_Counter(vocabulary).run, "place int, n double").groupBy("place").agg(F.sum("n")).collect())  # at most one number for each word
+        total, avg = counts.pop(-1, 0.0), counts.pop(-2, 0.0)
+        avg = avg / total if avg else 1.0
+        idf = np.zeros(len(vocabulary))
+        for k, df in counts.items():
+            idf[k] = max(np.log((total - df + 0.5) / (df + 0.5)), 1e-6)
+        ids = np.array([q for q, _ in block])
+        has = np.zeros((len(vocabulary), len(block)))
+        for j, (_, own) in enumerate(block):
+            has[[place[t] for t in own], j] = 1.0
+        scorer = _Scorer(vocabulary, idf, has, ids, avg, keep)
+        part = docs.mapInArrow(scorer.run, "query_id long, id long, bm25 double, matched int, n_terms int")
+        found = part if found is None else found.unionByName(part)
+    return memories.sparkSession.createDataFrame([], "query_id long, id long, bm25 double, matched int, n_terms int") if found is None else found
+
+
+class _Counter:
+    """Per task: how many documents hold each word (by its place), how many there are (-1), and their length (-2)."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.vocabulary = vocabulary
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, df, n, length = pa.array(self.vocabulary), np.zeros(len(self.vocabulary)), 0, 0
+        for batch in batches:
+            seen = []
+            for col in batch.columns[1:]:
+                at = pc.fill_null(pc.index_in(col.flatten(), words), -1).to_numpy()
+                own = at >= 0
+                seen.append(pc.list_parent_indices(col).to_numpy()[own] * len(words) + at[own])
+                length += len(at)
+            df += np.bincount(np.unique(np.concatenate(seen)) % len(words), minlength=len(words))
+            n += batch.num_rows
+        own = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([own, [-1, -2]]).astype(np.int32)), pa.array(np.concatenate([df[own], [n, length]]))], ["place", "n"])
+
+
+class _Scorer:
+    """Scores Arrow batches of (id, token lists) for a block of queries as products of matrices of at most CELLS numbers."""
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, has: np.ndarray, ids: np.ndarray, avg: float, keep: int | None):
+        self.vocabulary, self.idf, self.has, self.ids, self.avg, self.keep = vocabulary, idf, has, ids, avg, keep
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, weights, n_terms = pa.array(self.vocabulary), self.has * self.idf[:, None], self.has.sum(0).astype(np.int32)
+        rows = max(1, CELLS // max(len(self.vocabulary), len(self.ids)))
+        for batch in (b.slice(lo, rows) for b in batches for lo in range(0, b.num_rows, rows)):
+            f, dl = np.zeros((batch.num_rows, len(words))), np.zeros(batch.num_rows)
+            for col, weight in zip(batch.columns[1:], K.BM25_WEIGHTS.values(), strict=True):
+                parent = pc.list_parent_indices(col).to_numpy()
+                dl += np.bincount(parent, minlength=batch.num_rows)
+                at = pc.fill_null(pc.index_in(col.flatten(), words), -1).to_numpy()
+                own = at >= 0
+                f += weight * np.bincount(parent[own] * len(words) + at[own], minlength=f.size).reshape(f.shape)
+            part = f * (K.BM25_K1 + 1) / (f + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * dl / self.avg)[:, None])
+            score, matched = np.round(-(part @ weights), 6), ((f > 0) @ self.has).astype(np.int32)
+            ok = matched > 0
+            if self.keep is not None and batch.num_rows > self.keep:
+                whole = matched == n_terms
+                ok = self._first(np.where(ok, score, np.inf)) | self._first(np.where(whole, score, np.inf))
+            i, j = np.nonzero(ok)
+            own = batch.column(0).to_numpy()[i]
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[j]), pa.array(own), pa.array(score[i, j]), pa.array(matched[i, j]), pa.array(n_terms[j])], ["query_id", "id", "bm25", "matched", "n_terms"])
+
+    def _first(self, score: np.ndarray) -> np.ndarray:
+        """Of each column the `keep` smallest, and all that equal the last of them."""
+        edge = np.partition(score, self.keep - 1, axis=0)[self.keep - 1]
+        return (score <= edge) & np.isfinite(score)
 
 
 def search(memories: DataFrame, queries: DataFrame, limit: int, condition: Column | None = None, and_first: bool = True, order: Column | None = None, tokenize=T.tokens) -> DataFrame:
-    """(query_id, id, bm25, rank): the best rows that meet the condition; rows with all terms alone, if there are any.
+    """(query_id, id, bm25, rank) and the memory's columns: the best rows that meet the condition; rows with all terms alone, if there are any.
 
     Statistics cover all memories. `order` may rank by columns of the memories as well as by bm25.
     """
-    hits = bm25(memories, queries, tokenize)
-    rows = memories if condition is None else memories.where(condition)
-    hits = hits.join(rows, "id")
+    hits = bm25(memories, queries, tokenize, condition, limit if order is None else None)
     if and_first:
         full = F.col("matched") == F.col("n_terms")
         hits = hits.withColumn("any_full", F.max(full).over(W.partitionBy("query_id"))).where(full | ~F.col("any_full"))
-    hits = hits.withColumn("order", F.round(F.col("bm25") if order is None else order, 6))
+    if order is None:
+        return top(hits.withColumn("order", F.col("bm25")), limit, [F.col("order"), F.col("id")], ["query_id"]).join(memories, "id")
+    hits = hits.join(memories, "id").withColumn("order", F.round(order, 6))
     return top(hits, limit, [F.col("order"), F.col("id")], ["query_id"])
