@@ -80,8 +80,8 @@ class Net:
 
     def __init__(self, seed: int = 7):
         r = np.random.default_rng(seed)
-        self.word = r.normal(0, 0.1, (1 << WORD_BITS, DIM)).astype(np.float32)
-        self.stem = r.normal(0, 0.1, (1 << STEM_BITS, DIM)).astype(np.float32)
+        self.word = r.normal(0, 0.02, (1 << WORD_BITS, DIM)).astype(np.float32)
+        self.stem = r.normal(0, 0.02, (1 << STEM_BITS, DIM)).astype(np.float32)
         self.filters = {w: r.normal(0, 0.5, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS}
         self.bias = {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}
         self.out = r.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -118,8 +118,9 @@ class Net:
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled, 0) @ self.out + self.out_bias
 
-    def train(self, texts: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.02, batch: int = 32, seed: int = 11) -> None:
-        """Adam on the log loss; gradients of a maximum go to the words of the window that reached it."""
+    def train(self, texts: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray, epochs: int = 8, rate: float = 0.02, batch: int = 32, seed: int = 11, steps: int = 450) -> None:
+        """Adam on the log loss for `epochs`, or as many as make `steps`; gradients of a maximum go to the words of the window that reached it."""
+        epochs = max(epochs, -(-steps * batch // max(1, len(texts))))
         r = np.random.default_rng(seed)
         params = {"word": self.word, "stem": self.stem, "out": self.out, **{f"f{w}": self.filters[w] for w in WIDTHS}, **{f"b{w}": self.bias[w] for w in WIDTHS}}
         m = {k: np.zeros_like(v) for k, v in params.items()}
@@ -206,7 +207,7 @@ class Net:
         return out
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 1200, longest: int = 12_000) -> Net:
+def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 2000, longest: int = 12_000) -> Net:
     """Fits a network on a bounded sample of rows of docs that labels marks and the condition `train` admits."""
     net = Net()
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
