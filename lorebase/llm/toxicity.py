@@ -222,10 +222,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     texts = fit.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     got = [r for r in sorted((*chosen[r["doc_id"]], r["text"]) for r in texts.collect()) if re.search(r"\w", r[2])]
     y = np.array([r[1] for r in got], np.float64)
-    words = word_ids(pa.array([r[2] for r in got]))
-    own, b = [words[1][a:c] for a, c in zip(words[0].bounds[:-1], words[0].bounds[1:], strict=True)], words[0].bounds
-    stems = [words[2][a:c] for a, c in zip(b[:-1], b[1:], strict=True)]
-    langs = guess_language(words[0], words[0].hashes())
+    own, stems, langs = [], [], np.zeros(0, np.int64)
+    for lo in range(0, len(got), 200):  # hashing takes some 30 bytes a character
+        w, word, stem = word_ids(pa.array([r[2] for r in got[lo : lo + 200]]))
+        own += np.split(word, w.bounds[1:-1])
+        stems += np.split(stem, w.bounds[1:-1])
+        langs = np.concatenate([langs, guess_language(w, w.hashes())])
     ok = np.array([len(x) > 0 for x in own])
     held = np.arange(len(y)) % 4 == 3
     first = np.flatnonzero(ok & ~held)
