@@ -2,8 +2,7 @@
 
 Queries come as (query_id, query). Texts are tokenized in the JVM where they lie; blocks of queries meet Arrow batches of
 token lists as matrix products, and a task returns only what can be among a query's first rows, so
-neither texts nor postings are shuffled. Long OR queries match most documents: as joined rows they
-took six times as long. Scores are negative, smaller is better.
+neither texts nor postings are shuffled. Long OR queries match most documents, which makes joined rows slow. Scores are negative, smaller is better.
 """
 
 from __future__ import annotations
