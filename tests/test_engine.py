@@ -243,6 +243,18 @@ def test_measures(spark):
     assert "".join(halves.a) == "abcde" and "".join(halves.b) == "defgh"
 
 
+def test_line_coverage_has_every_pair(spark, tmp_path):
+    from lorebase.plans import analytics
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(130, 8)).astype(np.float32)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(p.a, p.b): p.coverage for p in analytics.QUERIES["line_coverage_all"](spark, str(tmp_path)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(a, b): abs(u[a] @ u[b]) / max(a % 3 + 5, b % 3 + 4) for a, b in itertools.combinations(range(130), 2)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
 def test_nli_rules(spark):
     e, c = models.lexical_entailment(["the port is open", "it is on"], ["port open", "it is not on"])
     assert e == (1.0, 0.0) and c[0] == 0.0 and c[1] > 0
