@@ -220,6 +220,25 @@ def test_merge(spark):
     assert 0 < sum(map(len, kept)) + len(kept) - 1 <= K.TAG_BUDGET
 
 
+def test_every_id_is_merged_gated_chained_and_judged(spark, tmp_path):
+    from lorebase.plans import analytics
+
+    rows = [(i, f"line {i % 3}\nown {i} of it", "en", "src0") for i in range(41)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: analytics.QUERIES[name](spark, str(tmp_path)).collect()
+    alive = [i for i in range(41) if i % 7]
+    tens = {c: [i for i in alive if i - i % 10 == c] for c in range(0, 41, 10)}
+    merged = {x.cluster: x.content for x in run("mechanical_merge")}
+    assert merged.keys() == {c for c, m in tens.items() if len(m) > 1}
+    assert all(f"own {i} of it" in merged[c].split("\n") for c, m in tens.items() if len(m) > 1 for i in m)
+    assert {x.cluster: x.source_ids for x in run("merge_inheritance_all")} == {c: ",".join(map(str, m)) for c, m in tens.items() if m}
+    assert {x.cluster for x in run("merge_tag_sets_all")} == {c for c, m in tens.items() if m}
+    pairs = [p for m in tens.values() for p in itertools.combinations(m, 2) if (p[0] * 3 + p[1]) % 7 / 7 >= 0.7]
+    assert {x.id for x in run("cluster_gate_all")} == {i for p in pairs for i in p}
+    assert {(x.source_id, x.target_id) for x in run("sibling_chain_all")} == {(i, i + 1) for i in range(40)}
+    assert {frozenset((x.older, x.newer)) for x in run("verdict_effects_all")} == {frozenset((i, i + 1)) for i in range(40)}
+
+
 def test_floor(spark):
     r = np.random.default_rng(1)
     c = np.clip(r.normal(0.86, 0.04, 400), 0.74, 0.974)
