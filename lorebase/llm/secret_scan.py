@@ -4,10 +4,12 @@ Base kinds are regular expressions: assignments to password-like names, access k
 runs of hex. The method adds spans of kind "entropy": in every run of key-like characters, a
 window slides over the run while the counts of its characters, and with them the sum of
 c log c, are updated in constant time a step. A window counts by the class of its characters
-(hex, or mixed letters and digits), each with a threshold of its own; windows over the threshold
-that touch are one span. An allow-list (UUIDs, integrity hashes, alphabets, placeholder words)
-suppresses spans of the method, never base ones, and a span that a base span already holds is not
-told twice.
+(hex, mixed with both letters and digits, or letters alone), each with a threshold of its own; windows
+over the threshold that touch are one span. An allow-list (UUIDs, integrity hashes, and words of letters and
+digits that hold an alphabet or a placeholder) cuts its own stretches out of a run, and the rest is judged;
+it never suppresses base spans, and a span that a base span already holds is not told twice.
+Windows of letters and signs without a digit are not judged, as paths and hyphenated words are such, and
+random letters of one case often stay under the threshold of letters, as their entropy is that of words.
 
 Scale: one pass over the texts in Arrow slices, no shuffle. Edge cases: null text is empty and has
 no spans; ids may be null or repeated; a text of any length is scanned whole; further columns are
@@ -35,14 +37,16 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character, of at most log2(WINDOW) = 4.32.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6}
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.8}
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i)example|placeholder|changeme|abcdefgh|0123456789|qwertyui"),
-    re.compile(r"^sha(?:1|256|384|512)-"),
+    re.compile(r"^sha(?:1-[A-Za-z0-9+/]{0,27}|256-[A-Za-z0-9+/]{0,43}|384-[A-Za-z0-9+/]{0,64}|512-[A-Za-z0-9+/]{0,86})={0,2}"),
 )
+#: Suppresses the whole word of letters and digits that holds it.
+PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|abcdefgh|0123456789|qwertyui")
+_WORD = re.compile(r"[A-Za-z0-9]+")
 _HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
-_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character enters before the oldest leaves
 
 
 def entropy_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -59,9 +63,9 @@ def entropy_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
             digits += step * c.isdigit()
             letters += step * c.isalpha()
             others += step * (c not in _HEX_DIGITS)
-        if i >= window - 1 and digits and letters:
+        if i >= window - 1 and letters and (digits or letters == window):
             bits = math.log2(window) - total / window
-            if bits >= THRESHOLDS["mixed" if others else "hex"]:
+            if bits >= THRESHOLDS["letters" if not digits else "mixed" if others else "hex"]:
                 start = i - window + 1
                 if out and start <= out[-1][1]:
                     out[-1][1] = i + 1
@@ -70,6 +74,18 @@ def entropy_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def judged(run: str) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a run that no allow-listed stretch holds, if a window fits."""
+    out, at = [], 0
+    held = [m.span() for allow in ALLOW for m in allow.finditer(run)]
+    if PLACEHOLDER.search(run):
+        held += [m.span() for m in _WORD.finditer(run) if PLACEHOLDER.search(m.group())]
+    for a, b in sorted(held):
+        out.append((at, a))
+        at = max(at, b)
+    return [(a, b) for a, b in [*out, (at, len(run))] if b - a >= WINDOW]
+
+
 def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans and all spans as (start, end, kind), by start, then kind as listed."""
     text = text or ""
@@ -84,12 +100,11 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple
     more = []
     for m in RUN.finditer(text):
         run = m.group()
-        if run.isalpha() or not any(map(str.isdigit, run)) or any(a.search(run) for a in ALLOW):
-            continue
-        for a, b in entropy_spans(run):
-            a, b = m.start() + a, m.start() + b
-            if not any(s <= a and b <= e for s, e, _ in base):
-                more.append((a, b, "entropy"))
+        for lo, hi in judged(run):
+            for a, b in entropy_spans(run[lo:hi]):
+                a, b = m.start() + lo + a, m.start() + lo + b
+                if not any(s <= a and b <= e for s, e, _ in base):
+                    more.append((a, b, "entropy"))
     return base, sorted(base + more, key=order)
 
 

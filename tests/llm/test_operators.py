@@ -301,6 +301,21 @@ def test_secrets(spark):
     assert secret_scan.scan_secrets(table(spark, rows).where("false")).count() == 0
 
 
+def test_allow_list_drops_its_own_stretch_only():
+    key = "Zk3v9Qx7Lm2Pw8Rt5Ny1Hd6Jc4"
+    uuid = "550e8400-e29b-41d4-a716-446655440000"
+    held = lambda t: any(a <= t.index(key) and t.index(key) + len(key) <= b for a, b, _ in secret_scan.find_spans(t)[1])
+    for t in (f"example_client={key}", f"//host/example/v1/{key}", f"/{uuid}/{key}", f"{key}/{uuid}"):
+        assert held(t), t
+    for t in (uuid, f"//host/{uuid}/x", f"{key}example", "sha256-" + "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5bC7dE9f="):
+        assert not secret_scan.find_spans(t)[1], t
+
+
+def test_random_letters_are_secrets():
+    assert secret_scan.find_spans("key qZvKxWmBtYhRpLnCgJdSfEuA end")[1] == [(4, 28, "entropy")]
+    assert not secret_scan.find_spans("x" * 500 + " internationalizationalism lorebase/operators/consolidation")[1]
+
+
 def test_entropy_counts_match_a_fresh_count():
     import math
 
