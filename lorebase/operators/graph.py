@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring
@@ -16,11 +17,11 @@ def both_ways(links: DataFrame) -> DataFrame:
     return one("source_id", "target_id").unionByName(one("target_id", "source_id"))
 
 
-def expand(roots: DataFrame, links: DataFrame, depth: int = 1, cap: int = 30) -> DataFrame:
+def expand(roots: DataFrame, links: DataFrame, depth: int = 1, cap: int | None = 30) -> DataFrame:
     """(root, id, relation, strength, distance, via): what roots(root) reach in up to three steps.
 
     All roots are marked visited for every root and not passed through. Of several ways to a node, the nearest counts, then the
-    strongest, then the smallest predecessor; a root keeps its first `cap` nodes. via is null at distance 1.
+    strongest, then the smallest predecessor; a root keeps its first `cap` nodes (None: all). via is null at distance 1.
     """
     depth = max(1, min(3, depth))
     edges = both_ways(links)
@@ -31,7 +32,8 @@ def expand(roots: DataFrame, links: DataFrame, depth: int = 1, cap: int = 30) ->
         step = step.join(seen, ["root", "id"], "left_anti").join(roots.select(F.col("root").alias("id")), "id", "left_anti")
         step = top(step, 1, [F.desc("strength"), F.col("via"), F.col("relation")], ["root", "id"], "n").drop("n")
         out = step if out is None else out.drop("place").unionByName(step)
-        out = top(out, cap, [F.col("distance"), F.desc("strength"), F.col("id")], ["root"], "place")
+        order = [F.col("distance"), F.desc("strength"), F.col("id")]
+        out = out.withColumn("place", F.row_number().over(W.partitionBy("root").orderBy(*order))) if cap is None else top(out, cap, order, ["root"], "place")
         front = out.where(F.col("distance") == d).select("root", "id")
         seen = seen.unionByName(front)
     return out.select("root", "id", "relation", "strength", "distance", "via", "place")
@@ -68,8 +70,6 @@ def drop_handled(pairs: DataFrame, links: DataFrame, relations: list[str] | None
 
 def chain(parts: DataFrame, group: str, order: str, strength: float = 0.6) -> DataFrame:
     """Links between consecutive rows(id) of a group."""
-    from pyspark.sql import Window as W
-
     nxt = F.lead("id").over(W.partitionBy(group).orderBy(order))
     return parts.select(F.col("id").alias("source_id"), nxt.alias("target_id"), F.lit("related").alias("relation_type"), F.lit(strength).alias("strength")).where("target_id is not null")
 

@@ -117,7 +117,7 @@ _BFS = "roots AS (SELECT id AS root FROM active WHERE id % 20 = 0), d1 AS (SELEC
 @query(with_more(_BFS, "SELECT root, id, k[2] AS relation, -k[1] AS strength, 1::INT AS distance, NULL::BIGINT AS via FROM d1 UNION ALL SELECT root, id, k[3], -k[1], 2::INT, k[2] FROM d2"))
 def bfs_two_hop(spark, sf):
     roots = views.active(spark, sf).where("id % 20 = 0").select(F.col("id").alias("root"))
-    return graph.expand(roots, views.links(spark, sf), 2, cap=10_000).drop("place")
+    return graph.expand(roots, views.links(spark, sf), 2, cap=None).drop("place")
 
 
 @query(with_more(_BFS + ", every AS (SELECT root, id, 1 AS distance, k[1] AS s FROM d1 UNION ALL SELECT root, id, 2, k[1] FROM d2), p AS (SELECT root, id, distance, row_number() OVER (PARTITION BY root ORDER BY distance, s, id)::INT AS place FROM every)", "SELECT root, id, distance::INT AS distance, place FROM p WHERE place <= 3"))

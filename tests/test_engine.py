@@ -169,6 +169,11 @@ def test_graph(spark):
     assert graph.drop_handled(spark.createDataFrame([(2, 1), (1, 4)], "a long, b long"), links).collect()[0].b == 4
 
 
+def test_graph_without_a_cap(spark):
+    links = spark.range(1, 10_051).selectExpr("0L AS source_id", "id AS target_id", "'related' AS relation_type", "0.5D AS strength")
+    assert graph.expand(spark.createDataFrame([(0,)], "root long"), links, 2, cap=None).count() == 10_050
+
+
 def test_neighbours(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(200, 8))
