@@ -7,7 +7,7 @@ shares, a machine's value is the mean of its weights over the text's n-grams, so
 length is scored whole in one pass without a feature vector.
 
 Training takes a bounded sample: up to `per_lang` documents of each language, smallest hash first,
-none longer than `longest` characters, and up to `max_langs` languages, most frequent first. All else
+none longer than `longest` characters, of every language that has any. All else
 covers every row: scoring is one pass over the texts with the weights (a few hundred KB) in the task.
 
 Edge cases: null text, or one without any letter, is `und` with score 0; with nothing to learn from,
@@ -156,12 +156,11 @@ class Model:
         return out, sure
 
 
-def training_sample(docs: DataFrame, per_lang: int, longest: int, max_langs: int) -> tuple[list[str], list[str]]:
+def training_sample(docs: DataFrame, per_lang: int, longest: int) -> tuple[list[str], list[str]]:
     """Texts and languages of a bounded sample of rows with both."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, longest))
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    # only ids are shuffled; the texts of the chosen ones, of which there are at most per_lang * max_langs, are read again
-    ids = rows.where(F.col("lang").isin(top) & F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
+    # only ids are shuffled; the texts of the chosen ones, of which there are at most per_lang a language, are read again
+    ids = rows.where(F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
     ranked = ids.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_lang)
     chosen = [(r["lang"], r["doc_id"], r["h"]) for r in ranked.collect()]
     names = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long, h long"))
@@ -171,8 +170,8 @@ def training_sample(docs: DataFrame, per_lang: int, longest: int, max_langs: int
     return [g[2] for g in got], [g[0] for g in got]
 
 
-def train_language(docs: DataFrame, train: Column, per_lang: int = 300, longest: int = 20_000, max_langs: int = 40) -> Model:
-    return Model.train(*training_sample(docs.where(train), per_lang, longest, max_langs))
+def train_language(docs: DataFrame, train: Column, per_lang: int = 300, longest: int = 20_000) -> Model:
+    return Model.train(*training_sample(docs.where(train), per_lang, longest))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -123,6 +123,12 @@ def test_language(spark):
     assert {x.lang_pred for x in language.identify(docs.where("lang = 'de' and text <> '123 --'"), one).collect()} == {"fr"}
 
 
+def test_every_language_is_learned(spark):
+    rows = [(100 * k + i, f"word{chr(97 + k % 26)}{k} text", f"l{k}") for k in range(43) for i in range(1 + (k < 40))]
+    langs = language.training_sample(table(spark, rows), 300, 500)[1]
+    assert set(langs) == {f"l{k}" for k in range(43)}
+
+
 # 4
 def test_toxicity(spark):
     r = random.Random(6)
