@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_WORD, Words, slices, tune, windows
+from .common import LOWER, NON_WORD, Words, drop_table, materialize, slices, tune, windows
 
 SHINGLE = 5
 GROUP, BLOCK_ITEMS = 256, 8
@@ -91,8 +91,8 @@ class Index:
         return [float(np.isin(s, windows(h, k)).mean()) if len(s) else 1.0 for k, s in self.parts[item]]
 
 
-def build(rows: list[tuple[int, str]], share: float) -> tuple[list[Index], int]:
-    """Indexes of the items, and the longest item's words."""
+def build(rows: list[tuple[int, str]], share: float, whole: tuple[dict[int, int], int, float, int] | None = None) -> tuple[list[Index], int]:
+    """Indexes of the items, and the longest item's words; whole: df, items, mean and longest length where rows are a block of more."""
     rows = [r for r in rows if r[0] is not None and r[1]]
     if not rows:
         return [], 0
@@ -102,13 +102,16 @@ def build(rows: list[tuple[int, str]], share: float) -> tuple[list[Index], int]:
     keep = [i for i, s in enumerate(seqs) if len(s)]
     if not keep:
         return [], 0
-    df: dict[int, int] = {}
-    for i in keep:
-        for t in np.unique(seqs[i]).tolist():
-            df[t] = df.get(t, 0) + 1
-    avg = float(np.mean([len(seqs[i]) for i in keep]))
+    if whole:
+        df, n, avg, longest = whole
+    else:
+        df = {}
+        for i in keep:
+            for t in np.unique(seqs[i]).tolist():
+                df[t] = df.get(t, 0) + 1
+        n, avg, longest = len(keep), float(np.mean([len(seqs[i]) for i in keep])), max(len(seqs[i]) for i in keep)
     groups = [keep[i : i + GROUP] for i in range(0, len(keep), GROUP)]
-    return [Index([rows[i][0] for i in g], [seqs[i] for i in g], share, df, len(keep), avg) for g in groups], max(len(seqs[i]) for i in keep)
+    return [Index([rows[i][0] for i in g], [seqs[i] for i in g], share, df, n, avg) for g in groups], longest
 
 
 def leaks_in(texts: pa.Array, indexes: list[Index], longest: int, least: float, least_part: float) -> list[tuple[int, int, float, list[float]]]:
@@ -131,13 +134,37 @@ def leaks_in(texts: pa.Array, indexes: list[Index], longest: int, least: float,
     return [(i, item, score, over) for (i, item), (score, over) in sorted(best.items())]
 
 
+def _terms(benchmark: DataFrame) -> DataFrame:
+    """words, terms (distinct, as signed hashes) of every item with a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=1 << 20):
+            w = Words(batch.column(0), NON_WORD, LOWER)
+            h = w.hashes()
+            terms = [np.unique(h[a:b]).view(np.int64) for a, b in zip(w.bounds[:-1], w.bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(w.counts, np.int64)), pa.array(terms, pa.list_(pa.int64()))], ["words", "terms"])
+
+    return benchmark.where("item_id is not null and text <> ''").select("text").mapInArrow(run, "words long, terms array<long>").where("words > 0")
+
+
 def _indexes(benchmark: DataFrame, share: float, block: int) -> Iterator[tuple[list[Index], int]]:
-    """Indexes of about `block` items or 16 MB of them at a time, and the longest item of each."""
+    """Indexes of about `block` items or 16 MB of them at a time, and the longest item of all."""
     size = benchmark.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
     blocks = max(1, -(-size["n"] // block), -(-(size["c"] or 0) // (16 << 20)))
+    if blocks > 1:  # scores must not depend on the blocks
+        terms = _terms(benchmark)
+        every = terms.agg(F.count("*"), F.avg("words"), F.max("words")).first()
+        df = materialize(terms.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")), "df")
     for k in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text").orderBy("item_id", "text").collect()  # at most about a block
-        yield build([tuple(r) for r in rows], share)
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        rows = own.select("item_id", "text").orderBy("item_id", "text").collect()  # at most about a block
+        whole = None
+        if blocks > 1:
+            used = df.join(_terms(own).select(F.explode("terms").alias("t")).distinct(), "t").collect()
+            whole = ({r["t"] % (1 << 64): r["df"] for r in used}, *every)
+        yield build([tuple(r) for r in rows], share, whole)
+    if blocks > 1:
+        drop_table(df)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, least: float = 0.8, least_part: float = 0.5, block: int = 20_000) -> DataFrame:

@@ -168,6 +168,16 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(table(spark, rows), bench.where("false")).count() == 0
 
 
+def test_leak_scores_do_not_depend_on_blocks(spark):
+    r = random.Random(8)
+    items = [(i, " ".join(rng_words(r, 10 + i, 60))) for i in range(40)]
+    rows = [(100 + i, " ".join(rng_words(r, 90, 60)) + " " + items[i][1]) for i in range(40)]
+    bench = spark.createDataFrame([*items, (90, None), (91, ""), (None, "w1 w2")], "item_id long, text string")
+    told = lambda block: {(x.doc_id, x.item_id): x.score for x in decontaminate.find_leaks(table(spark, rows), bench, block=block).collect()}
+    one, many = told(20_000), told(7)
+    assert one.keys() == many.keys() and len(one) >= 40 and all(abs(one[k] - many[k]) < 1e-6 for k in one)
+
+
 # 6
 def test_neighbours(spark):
     r = np.random.default_rng(2)
