@@ -153,7 +153,7 @@ def explode_chain(spark, sf):
 @query(sql("SELECT id, true AS same FROM memories"))
 def explode_forms_agree(spark, sf):
     """The expression and the Python form of the chain splitter, on every memory as a chain."""
-    chain = F.concat(F.lit("F:"), F.regexp_replace(F.substring(F.regexp_replace(_content(), r"\s+", " "), 1, 300), r"\. ", ". D: "), F.lit("; W:end"))
+    chain = F.concat(F.lit("F:"), F.regexp_replace(F.regexp_replace(_content(), r"\s+", " "), r"\. ", ". D: "), F.lit("; W:end"))
     return views.memories(spark, sf).select("id", (T.explode_chain(chain) == splitting.explode_udf(chain)).alias("same"))
 
 

@@ -244,6 +244,16 @@ def test_every_id_is_merged_gated_chained_and_judged(spark, tmp_path):
     assert {frozenset((x.older, x.newer)) for x in run("verdict_effects_all")} == {frozenset((i, i + 1)) for i in range(40)}
 
 
+def test_splitters_are_compared_on_whole_texts(spark, tmp_path, monkeypatch):
+    from lorebase.plans import texts
+
+    spark.createDataFrame([(0, "early. " * 100 + "late. end", "en", "src0")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: texts.QUERIES["explode_forms_agree"](spark, str(tmp_path)).first().same
+    assert run()
+    monkeypatch.setattr(texts.splitting, "explode_udf", lambda c: F.replace(texts.T.explode_chain(c), F.lit("late"), F.lit("lost")))
+    assert not run()
+
+
 def test_floor(spark):
     r = np.random.default_rng(1)
     c = np.clip(r.normal(0.86, 0.04, 400), 0.74, 0.974)
