@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -183,19 +184,34 @@ def test_neighbours(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(600, 16)).astype(np.float32)
     x[100:140] = x[20]  # copies
-    vectors = {i: x[i].tolist() for i in range(600)}
-    rows = [(i, v) for i, v in vectors.items()] + [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (760, [None] * 16), (780, [1.0] * 3), (None, [1.0] * 16), (800, [float("inf")] * 16)]
-    df = spark.createDataFrame([(i, v, "c", 1) for i, v in rows], "vec_id long, embedding array<float>, shard string, rank int")
-    got = sorted(tuple(t) for t in annsearch.nearest(df, k=20, every=20, shard_rows=100).select("query_id", "rank", "vec_id", "score").collect())
-    want = sorted(annsearch.brute_force(vectors, 20, 20))
-    hit = len({(a, c) for a, _, c, _ in got} & {(a, c) for a, _, c, _ in want}) / len(want)
-    assert len(got) == len(want) and hit >= 0.9
-    true = {(a, c): s for a, _, c, s in annsearch.brute_force(vectors, 600, 20)}
-    assert all(abs(s - true[a, c]) < 1e-9 for a, _, c, s in got)
+    rows = [(i, x[i].tolist()) for i in range(600)] + [(20, x[300].tolist()), (20, x[20].tolist()), (41, x[41].tolist())]  # repeated ids
+    odd = [(700, None), (720, [0.0] * 16), (740, [float("nan")] * 16), (760, [None] * 16), (780, [1.0] * 3), (None, [1.0] * 16), (800, [float("inf")] * 16)]
+    df = spark.createDataFrame([(i, v, "c", 1) for i, v in rows + odd], "vec_id long, embedding array<float>, shard string, rank int")
+    want = Counter((a, c) for a, _, c, _ in annsearch.brute_force(rows, 20, 20))
+    true = Counter((a, c, round(s, 9)) for a, _, c, s in annsearch.brute_force(rows, 700, 20))
+    for shard_rows in (100, 5000, 40):  # several shards, one, and many pieces
+        found = annsearch.nearest(df, k=20, every=20, shard_rows=shard_rows, max_shards=4).collect()
+        got = Counter((t.query_id, t.vec_id) for t in found)
+        assert len(found) == sum(want.values()) and (got & want).total() >= 0.9 * want.total()
+        assert Counter((t.query_id, t.rank) for t in found) == Counter((a, b) for a, b, _, _ in annsearch.brute_force(rows, 20, 20))
+        assert not Counter((t.query_id, t.vec_id, round(t.score, 9)) for t in found) - true
+        assert all(0 < t.verified <= 600 for t in found)
     few = annsearch.nearest(df.where("vec_id < 15"), k=20, every=20).collect()
     assert len(few) == 14 and annsearch.nearest(df.where("false")).count() == 0
 
 
+def test_neighbours_walk_in_order_and_stop():
+    r = np.random.default_rng(3)
+    p = r.normal(size=(3000, 4))
+    tree, q = annsearch.Tree(p, 32), r.normal(size=4)
+    away = annsearch.gaps(q[None], tree.low, tree.high)[0]
+    walked = np.concatenate(list(tree.walk(q, away, [math.inf])))
+    d = ((tree.points - q) ** 2).sum(1)
+    assert len(walked) == 3000 and (np.diff(d[walked]) >= 0).all()
+    within = [float(np.sort(d)[500])]
+    assert set(np.concatenate(list(tree.walk(q, away, within)))) == set(np.flatnonzero(d <= within[0]))
+
+
 # 7
 def plain_near(rows, k, threshold):
     sets = defaultdict(set)
@@ -333,8 +349,6 @@ def test_random_letters_are_secrets():
 
 
 def test_entropy_counts_match_a_fresh_count():
-    import math
-
     r = random.Random(1)
     run = "".join(r.choice("abcdefABCDEF0123456789+/") for _ in range(200))
     w = secret_scan.WINDOW
