@@ -189,7 +189,7 @@ def _meet(routes: DataFrame, dealt: DataFrame, sizes: dict[int, int], rows: int,
     return both.sortWithinPartitions("shard", "piece", "salt", F.col("bound").asc_nulls_first()).mapInPandas(work, _FOUND)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.92, sample: int = 20_000, shard_rows: int | None = None, max_shards: int = 4096, seed: int = 5) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = 0.88, sample: int = 20_000, shard_rows: int | None = None, max_shards: int = 4096, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score, verified: for rows whose id `every` divides, the k nearest other rows."""
     spark = vectors.sparkSession
     tune(spark)
