@@ -15,11 +15,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a worker handles (a longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
 #: Texts that one step handles.
 SLICE_ROWS = 4000
+#: Rows from which on a key of a join may count as hot.
+HOT_ROWS = 2000
 #: The white space of the contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -184,10 +187,12 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine a folder of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = path = tempfile.mkdtemp(prefix="lorebase-")
@@ -242,28 +247,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts(key, c, ...): one row a key, c at least the number of rows that have it.
+
+    The facts of a key that holds over a 20,000th of all rows go to every task, and such keys are at most 20,000
+    by arithmetic; its rows stay where they are. Rows of other keys are shuffled to their facts. facts should be a written table.
+    """
+    stats = facts.agg(F.max("c").alias("most"), F.sum("c").alias("total")).first()
+    limit = max(HOT_ROWS, (stats["total"] or 0) // 20_000)
+    if (stats["most"] or 0) <= limit:
+        return rows.join(facts, key)
+    hot = facts.where(F.col("c") > limit)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col("c") <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of edges(a, b) reaches; only nodes with an edge.
 
     Alternates large-star and small-star (Kiveris et al., 2014) over written tables until no edge
-    changes. Every step is a grouped minimum, and no group's members are gathered.
+    changes. Every step is a grouped minimum, no group's members are gathered, and the centre of a large star is no hot key of a join.
     """
-    from pyspark.sql import functions as F
-
     spark = edges.sparkSession
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, seen = materialize(e, "edges"), None
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
+        large = with_facts(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large.where("u <> v"), "large")
         drop_table(e)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        drop_table(least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
+        small = with_facts(large, least, "u")
         e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = materialize(e, "edges")
         drop_table(large)
+        drop_table(least)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("label"))

@@ -18,10 +18,11 @@ With 4 registers a band and 24 bands a pair at the threshold of 0.8 is missed wi
 
 Scale: documents move as 100-byte sketches; texts of candidates alone are read again (a semi-join whose
 id side is broadcast only if counted to be small). A hot set is one node after a partial
-aggregate; hubs are salted. Written tables cut the lineage, and components are found by grouped minima.
+aggregate; hubs are salted. Joins on a band that many nodes share send that band's one row to all tasks. Written tables cut the lineage, and
+components are found by grouped minima.
 
 Edge cases: texts without words link with nothing; shorter texts have their whole sequence as one shingle;
-repeated ids link rows as one document; a null id takes no part, has no component and is kept; further columns are ignored.
+rows that repeat an id are one document, linked by any of its texts; a null id takes no part, has no component and is kept; further columns are ignored.
 Shingles are 52-bit hashes (of 64, 12 number a slice's texts).
 """
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, Words, binaries, components, drop_table, materialize, mix, parts, release, shingles, slices, tune
+from .common import LOWER, SPACE, Words, binaries, components, drop_table, materialize, mix, parts, release, shingles, slices, tune, with_facts
 
 BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
@@ -86,11 +87,11 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, thresho
 
 
 def sketch(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), regs; both null for empty sets."""
+    """doc_id, text_hash, n_shingles, digest (of the set), regs; both null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=1 << 20):
-            w = Words(batch.column(1), SPACE, LOWER)
+            w = Words(batch.column(2), SPACE, LOWER)
             doc, h = shingles(w, w.hashes(), words)
             h = mix(h)
             n = np.bincount(doc, minlength=batch.num_rows)
@@ -103,9 +104,9 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                 digest[own, 1] = np.add.reduceat(mix(h ^ _CUT), bounds[:-1])
             none = n == 0
             wide = lambda x: pa.array([None if e else r.tobytes() for e, r in zip(none, x, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), wide(digest), wide(regs)], ["doc_id", "n_shingles", "digest", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), wide(digest), wide(regs)], ["doc_id", "text_hash", "n_shingles", "digest", "regs"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, regs binary")
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -131,9 +132,11 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(test, "a long, b long")
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, h): the sorted shingle hashes of the documents named by nodes(node)."""
-    ids = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(node, h): the sorted shingle hashes of the wanted nodes(node), each from the text of the row that names it."""
+    names = nodes.join(wanted, "node", "left_semi").select("node", F.col("first").alias("doc_id"), "text_hash")
+    names = F.broadcast(names) if names.count() <= BROADCAST_IDS else names
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(names, ["doc_id", "text_hash"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -142,18 +145,17 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=batch.num_rows))])
             yield pa.RecordBatch.from_arrays([batch.column(0), binaries(h, bounds)], ["node", "h"])
 
-    found = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(run, "node long, h binary")
-    return materialize(found, "sets")
+    return materialize(texts.mapInArrow(run, "node long, h binary"), "sets")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold: a's set meets its b's in a stream.
 
     Pairs of one a are dealt to salted groups of about SALT_ROWS, each with a's set first.
     """
     spark = docs.sparkSession
     pairs = materialize(pairs.distinct(), "pairs")
-    sets = _sets(docs, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
     each = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(each, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
     members = salted.join(sets, F.col("b") == F.col("node")).select("a", "salt", "b", "h")
@@ -281,50 +283,70 @@ def _across_marked(groups: DataFrame, threshold: int) -> DataFrame:
     return _blocks(groups, chunks, ["marked", "h"]).mapInArrow(lambda batches: _each_block(batches, work), "a long, b long")
 
 
+def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (digest, node, first, text_hash, n, regs), one for each distinct set, and ties (a, b) of sets that one document has.
+
+    first is the smallest document that has the set; its id names the node, unless that document is the first of
+    several sets: then all but one of them are named by a hash.
+    """
+    real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    sets = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    sets = materialize(sets.select("digest", F.col("f.doc_id").alias("first"), F.col("f.text_hash").alias("text_hash"), "n", "regs"), "digests")
+    again = sets.groupBy("first").agg(F.min("text_hash").alias("plain"), F.count("*").alias("k")).where("k > 1").select("first", "plain")
+    own = F.col("plain").isNull() | (F.col("plain") == F.col("text_hash"))
+    nodes = sets.join(again, "first", "left").withColumn("node", F.when(own, F.col("first")).otherwise(F.xxhash64("first", "text_hash", F.lit("set")))).drop("plain")
+    nodes = materialize(nodes, "nodes")
+    drop_table(sets)
+    held = real.select("doc_id", "digest").distinct()
+    ties = held.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    tied = held.join(ties, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return nodes, materialize(tied, "ties")
+
+
 def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches, nodes (digest to node) and labels (node, label) of nodes with a link."""
+    """Sketches, nodes (see _nodes) and labels (node, label) of nodes with a link; label is the smallest document reached."""
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select("doc_id", "text")
     sketches = materialize(sketch(docs, words), "sketches")
-    real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # rows that repeat an id with another set are further nodes of that document: they are tied below
-    nodes = materialize(real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "nodes")
-    lone = nodes.groupBy("node").agg(F.min_by("digest", "digest").alias("digest"), F.min_by("n", "digest").alias("n"), F.min_by("regs", "digest").alias("regs"))
-    ties = real.select("doc_id", "digest").distinct().groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    tied = real.join(ties, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    nodes, tied = _nodes(sketches)
 
     keys = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.substring("regs", ROWS * k + 1, ROWS)).alias("band")) for k in range(BANDS)])
-    bands = lone.select("node", "n", F.inline(keys))
-    common = bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
-    bands = materialize(bands.join(common, "band"), "bands")
+    bands = nodes.select("node", "n", F.inline(keys))
+    common = materialize(bands.groupBy("band").agg(F.count("*").alias("c")).where("c > 1"), "common")
+    bands = materialize(with_facts(bands, common, "band"), "bands")
+    drop_table(common)
     company = bands.groupBy("node").agg(F.sum("c").alias("company"))
-    hubs = bands.join(company, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("company", -F.col("node"))).alias("hub"))
-    stars = bands.join(hubs, "band").where((F.col("node") != F.col("hub.node")) & _fits(F.col("n"), F.col("hub.n"), threshold))
-    stars = stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    edges = _verify(_plausible(stars, nodes, threshold), docs, words, threshold)
+    hubs = bands.join(company, "node").groupBy("band").agg(F.max_by(F.struct("node", "n"), F.struct("company", -F.col("node"))).alias("hub"), F.first("c").alias("c"))
+    stars = with_facts(bands.drop("c"), materialize(hubs, "hubs"), "band").where((F.col("node") != F.col("hub.node")) & _fits(F.col("n"), F.col("hub.n"), threshold))
+    stars = materialize(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    edges = _verify(_plausible(stars, nodes, threshold), docs, nodes, words, threshold)
     edges = edges.unionByName(tied)
     labels = components(edges)
 
     def still_open(labels: DataFrame, bands: DataFrame) -> DataFrame:
         """The bands whose members lie in several components, with labels."""
         known = bands.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        open_ = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("total")).where("lo < hi").select("band", "total")
-        return known.join(open_, "band").join(nodes.select("node", "regs"), "node")
+        open_ = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("n").alias("total"), F.first("c").alias("c")).where("lo < hi").select("band", "total", "c")
+        return with_facts(known.drop("c"), materialize(open_, "open"), "band").join(nodes.select("node", "regs"), "node")
 
     found = materialize(_across(still_open(labels, bands), threshold), "across")
     rest = found.where("b is not null").select("a", "b").distinct()
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    edges = edges.unionByName(_verify(rest, docs, words, threshold))
+    edges = edges.unionByName(_verify(rest, docs, nodes, words, threshold))
     labels = materialize(components(edges), "labels")
     marks = found.where("b is null").select("band", F.col("a").alias("node"), F.lit(True).alias("marked")).distinct()
     groups = still_open(labels, bands.join(marks.select("band").distinct(), "band", "left_semi"))
     groups = materialize(groups.join(marks, ["band", "node"], "left").withColumn("marked", F.coalesce("marked", F.lit(False))), "marked")
     if not groups.isEmpty():
-        sets = _sets(docs, groups.select("node").distinct(), words)
+        sets = _sets(docs, nodes, groups.select("node").distinct(), words)
         links = materialize(_across_marked(groups.join(sets, "node"), threshold), "links")
         if not links.isEmpty():
             labels = components(edges.unionByName(links))
+    if not nodes.where("node <> first").isEmpty():  # names by hash say nothing of the smallest document
+        full = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        least = full.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("c"))
+        labels = with_facts(full, materialize(least, "least"), "label").select("node", F.col("least").alias("label"))
     drop_table(bands)
     release(spark)
     return sketches, nodes, labels
@@ -333,7 +355,7 @@ def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; threshold is a percentage."""
     sketches, nodes, labels = classes_and_components(docs, words, threshold)
-    named = nodes.join(labels, "node", "left").select(F.col("digest").alias("own"), F.coalesce("label", "node").alias("label"))
+    named = nodes.join(labels, "node", "left").select(F.col("digest").alias("own"), F.coalesce("label", "first").alias("label"))
     out = sketches.join(named, F.col("digest") == F.col("own"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorebase.llm import anchors, annsearch, decontaminate, language, licenses, mixing, near_dup, secret_scan, toxicity, warc
+from lorebase.llm import anchors, annsearch, common, decontaminate, language, licenses, mixing, near_dup, secret_scan, toxicity, warc
 from lorebase.llm.common import Words, shingle_set, windows
 
 #: Columns that clash with names operators use inside.
@@ -265,6 +265,32 @@ def test_near_duplicates_of_a_marked_group(spark, monkeypatch):
     assert near_dup.near_duplicates(table(spark, rows).where("false")).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark, monkeypatch):
+    """One id with several texts: near copies of each are linked, and hot keys take the other way."""
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    r = random.Random(14)
+    a, b, c = (rng_words(r, 90, 5000) for _ in range(3))
+    near = lambda w, k: " ".join(w[:k] + ["other"] + w[k + 1 :])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (5, " ".join(c)), (9, near(a, 30)), (10, near(b, 40)), (11, near(c, 50)), (3, near(c, 60)), (20, " ".join(b)), (7, None), (7, " ".join(rng_words(r, 40, 5000)))]
+    rows += [(100 + i, near(b, i)) for i in range(80)]
+    for _ in range(2):
+        got = by_id(near_dup.near_duplicates(table(spark, rows), words=4), "doc_id", "n_shingles", "component_id", "kept")
+        assert got == plain_near(rows, 4, 80)
+        rows += [(i, t) for i, t in rows[:5]] + [(2, "x")]
+
+
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    r = random.Random(2)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(50)] + [(r.randrange(200, 400), r.randrange(200, 400)) for _ in range(90)] + [(7, 7)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.node: x.label for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(got.get(x, x) == m for x, m in label.items())
+
+
 # 8
 def test_warc(spark):
     big = "<html>" + "é" * 100 + "</html>"
