@@ -8,12 +8,13 @@ that must share o of them has a prefix of n - o + 1, and a block without any pre
 match. Candidates must also be long enough (o tokens) and, from the place of their first common
 token on, leave enough tokens on either side. What remains is verified on full sets.
 
-Scale: texts never move. The notices are constants of this module (or a parameter), so the table
-broadcast to the join has a fixed size; per document only labels are shuffled. Token counts come
-back as one number per notice token.
+Scale: texts are read once and never move; what one scan finds in them (places, and which tokens of notices a
+block holds, for blocks that hold enough) is written and serves the token counts and the join. The notices are
+constants of this module (or a parameter), so the table broadcast to the join has a fixed size; per document only labels
+are shuffled. Token counts come back as one number per notice token.
 
-Edge cases: null text is empty: no words, no labels, null places, score 0. Null and repeated ids
-are kept as rows of their own. Very long texts are read whole. Further columns are ignored.
+Edge cases: null text is empty: no words, no labels, null places, score 0. Rows with null or repeated ids
+are rows of their own, each labelled by its own text. Very long texts are read whole. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialize, tune
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -54,49 +55,55 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     phrases, templates = PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     tune(spark)
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
-    norm = lambda c: F.trim(F.regexp_replace(c, GAP, " "))
+    sets = {label: sorted(set(text.split())) for label, text in templates.items()}
+    needs = {label: _needed(len(tokens), threshold) for label, tokens in sets.items()}
+    vocabulary = sorted({t for s in sets.values() for t in s})
+    words = lambda c: F.when(c == "", F.lit(0)).otherwise(_spaces(c) + 1)
 
-    # phrases
-    base = docs.select("doc_id", norm(lowered).alias("norm")).select("doc_id", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("t"), F.when(F.col("norm") == "", F.lit(0)).otherwise(_spaces(F.col("norm")) + 1).alias("n_words"))
+    # one scan of the texts: normalised blocks, the phrases in all of them, and what blocks hold of the notices
+    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
+    norm = F.transform(F.split(lowered, r"\n[ \t\r]*\n"), lambda c: F.trim(F.regexp_replace(c, GAP, " ")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.filter(norm, lambda c: c != "").alias("blocks"))
+    rows = rows.select("doc_id", "text_hash", "blocks", F.array_join("blocks", " ").alias("norm")).select("doc_id", "text_hash", "blocks", F.concat(F.lit(" "), "norm", F.lit(" ")).alias("t"), words(F.col("norm")).alias("n_words"))
     counts, firsts, lasts, names = [], [], [], []
     for phrase, label in phrases.items():
         p, k = f" {phrase} ", len(phrase.split())
-        n = F.when(F.contains("t", F.lit(p)), F.regexp_count("t", F.lit(f" {phrase}(?= )"))).otherwise(F.lit(0))
-        counts.append(n)
-        firsts.append(F.when(F.contains("t", F.lit(p)), _spaces(F.substring("t", F.lit(1), F.locate(p, F.col("t")))) - 1))
+        has = F.contains("t", F.lit(p))
+        counts.append(F.when(has, F.regexp_count("t", F.lit(f"(?=\\Q{p}\\E)"))).otherwise(F.lit(0)))  # places may overlap
+        firsts.append(F.when(has, _spaces(F.substring("t", F.lit(1), F.locate(p, F.col("t")))) - 1))
         back = F.reverse("t")
-        lasts.append(F.when(F.contains("t", F.lit(p)), F.col("n_words") - k - (_spaces(F.substring(back, F.lit(1), F.locate(p[::-1], back))) - 1)))
-        names.append(F.when(F.contains("t", F.lit(p)), F.lit(label)))
+        lasts.append(F.when(has, F.col("n_words") - k - (_spaces(F.substring(back, F.lit(1), F.locate(p[::-1], back))) - 1)))
+        names.append(F.when(has, F.lit(label)))
     pick = lambda f, xs: xs[0] if len(xs) == 1 else f(*xs)
-    base = base.select(
+    notice = F.array(*map(F.lit, vocabulary))
+    least = min(needs.values(), default=0)
+    held = F.transform("blocks", lambda c: F.struct(F.array_intersect(notice, F.split(c, " ")).alias("tokens"), F.size(F.array_distinct(F.split(c, " "))).alias("n")))
+    rows = rows.select(
         "doc_id",
+        "text_hash",
         F.col("n_words").cast("long").alias("n_words"),
         sum(counts[1:], counts[0]).cast("long").alias("n_base"),
         pick(F.least, firsts).cast("long").alias("first_word"),
         pick(F.greatest, lasts).cast("long").alias("last_word"),
         F.array_sort(F.array_distinct(F.array_compact(F.array(*names)))).alias("base"),
+        held.alias("held"),
     )
+    # frequencies count every document's tokens; of the blocks only those that could reach some notice's share go on
+    rows = rows.select("*", F.array_distinct(F.flatten(F.transform("held", lambda h: h["tokens"]))).alias("tokens"), F.filter("held", lambda h: F.size(h["tokens"]) >= least).alias("near")).drop("held")
+    rows = materialize(rows, "licenses")
 
     # templates: the vocabulary in order of rarity
-    sets = {label: sorted(set(text.split())) for label, text in templates.items()}
-    vocabulary = sorted({t for s in sets.values() for t in s})
-    words = F.split(norm(lowered), " ")
-    held = docs.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    often = {r["token"]: r["n"] for r in held.collect()}  # at most one number for each notice token
+    often = {r["token"]: r["n"] for r in rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}  # at most one number for each notice token
     rank = {t: i for i, t in enumerate(sorted(vocabulary, key=lambda t: (often.get(t, 0), t)))}
     index = []
     for label, tokens in sets.items():
         tokens = sorted(tokens, key=rank.__getitem__)
-        need = _needed(len(tokens), threshold)
-        index += [(token, i, label, tokens, len(tokens), need) for i, token in enumerate(tokens[: len(tokens) - need + 1])]
+        index += [(token, i, label, tokens, len(tokens), needs[label]) for i, token in enumerate(tokens[: len(tokens) - needs[label] + 1])]
     small = F.broadcast(spark.createDataFrame(index, "token string, t_at int, label string, t_tokens array<string>, t_n int, need int"))
-    prefix = F.array(*[F.lit(t) for t in sorted({x[0] for x in index})])
     order = F.array(*[F.lit(t) for t in sorted(vocabulary, key=rank.__getitem__)])
 
-    blocks = docs.select("doc_id", F.posexplode(F.split(lowered, r"\n[ \t\r]*\n")).alias("block", "raw")).select("doc_id", "block", F.split(norm(F.col("raw")), " ").alias("w"))
     # a block's notice tokens in rarity order; tokens of no notice would stand before or between them and can't match
-    blocks = blocks.where(F.arrays_overlap("w", prefix)).select("doc_id", "block", F.array_intersect(order, F.col("w")).alias("b_tokens"), F.size(F.array_distinct("w")).alias("b_n"))
+    blocks = rows.select("doc_id", "text_hash", F.posexplode("near").alias("block", "b")).select("doc_id", "text_hash", "block", F.array_intersect(order, F.col("b.tokens")).alias("b_tokens"), F.col("b.n").alias("b_n"))
     probes = blocks.select("*", F.posexplode("b_tokens").alias("b_at", "token"))
     found = probes.join(small, "token").where(F.col("b_n") >= F.col("need"))
     # positional filter: the first common token leaves at most this many
@@ -104,9 +111,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     found = found.where(reach >= F.col("need"))
     shared = F.size(F.array_intersect("b_tokens", "t_tokens"))
     found = found.withColumn("shared", shared).where(F.col("shared") >= F.col("need"))
-    hits = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max(F.col("shared") / F.col("t_n")).alias("best")).withColumnRenamed("doc_id", "hit_id")
+    # rows that have id and text alike have labels alike
+    hits = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("label")).alias("found"), F.max(F.col("shared") / F.col("t_n")).alias("best")).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
 
-    out = base.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     none = F.array().cast("array<string>")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", none)))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
@@ -119,16 +127,17 @@ def oracle(threshold: float = 0.8) -> str:
     rows = ", ".join(f"('{label}', {sorted(set(t.split()))!r})" for label, t in TEMPLATES.items())
     phrase = " UNION ALL ".join(f"SELECT {p.split()!r} AS ws, '{label}' AS label" for p, label in PHRASES.items())
     return f"""
-WITH d AS (SELECT doc_id, text, CASE WHEN n = '' THEN [] ELSE string_split(n, ' ') END AS w FROM (SELECT doc_id, text, {norm.format("text")} AS n FROM documents)),
+WITH k AS (SELECT row_number() OVER () AS k, doc_id, text FROM documents),
+d AS (SELECT k, doc_id, CASE WHEN n = '' THEN [] ELSE string_split(n, ' ') END AS w FROM (SELECT k, doc_id, {norm.format("text")} AS n FROM k)),
 ph AS ({phrase}),
-pos AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, ws, unnest(range(1, len(w) - len(ws) + 2)) AS i FROM d, ph WHERE list_has_all(w, ws)) WHERE w[i:i + len(ws) - 1] = ws),
-b AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS base FROM pos GROUP BY 1),
-bl AS (SELECT doc_id, list_distinct(string_split({norm.format("raw")}, ' ')) AS ws FROM (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) AS raw FROM documents)),
+pos AS (SELECT k, label, i - 1 AS place FROM (SELECT k, w, label, ws, unnest(range(1, len(w) - len(ws) + 2)) AS i FROM d, ph WHERE list_has_all(w, ws)) WHERE w[i:i + len(ws) - 1] = ws),
+b AS (SELECT k, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS base FROM pos GROUP BY 1),
+bl AS (SELECT k, list_distinct(string_split({norm.format("raw")}, ' ')) AS ws FROM (SELECT k, unnest(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n')) AS raw FROM k)),
 te AS (SELECT * FROM (VALUES {rows}) AS t(label, tokens)),
-m AS (SELECT doc_id, label, len(list_intersect(ws, tokens)) AS shared, len(tokens) AS n FROM bl, te),
-h AS (SELECT doc_id, list(DISTINCT label) AS found, max(shared::DOUBLE / n) AS best FROM m WHERE shared >= ceil(n * {threshold} - 1e-9) GROUP BY 1)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+m AS (SELECT k, label, len(list_intersect(ws, tokens)) AS shared, len(tokens) AS n FROM bl, te),
+h AS (SELECT k, list(DISTINCT label) AS found, max(shared::DOUBLE / n) AS best FROM m WHERE shared >= ceil(n * {threshold} - 1e-9) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
 array_to_string(coalesce(base, []), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels,
 CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
-FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN h ON d.doc_id = h.doc_id
+FROM d LEFT JOIN b ON d.k = b.k LEFT JOIN h ON d.k = h.k
 """
