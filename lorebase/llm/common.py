@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = [int(x) | 1 for x in _RNG.integers(1 << 60, 1 << 63, 8)]
 _powers: dict[int, np.ndarray] = {}
 _own_dirs: dict[str, str] = {}
+#: Per application, the tables written in the innermost scope.
+_written: dict[str, list[str]] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -182,8 +185,13 @@ def binaries(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def tune(spark: SparkSession) -> None:
-    """Arrow batches that stay small with very long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    """Arrow batches that stay small with very long texts, unless the session has its own setting.
+
+    The setting must hold when the caller runs the lazy result, so it stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # the default
+        spark.conf.set(name, "2000")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -201,7 +209,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (app := spark.sparkContext.applicationId) in _written:
+        _written[app].append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -214,13 +225,63 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return out
 
 
+def smallest_hashes(rows: DataFrame, group: str, each: int, id_: str = "doc_id") -> list:
+    """Rows (group, id, h) of the `each` ids of every group with the smallest hashes, as a list on the driver.
+
+    Counts of the groups set a cut on the hash that leaves some more than `each`; only those few rows move.
+    Where repeated ids let it leave fewer, the cut is widened.
+    """
+    keyed = rows.select(group, id_, F.xxhash64(F.col(id_).cast("string")).alias("h"))
+    left = {r[group]: r["n"] for r in keyed.groupBy(group).agg(F.count("*").alias("n")).collect()}  # one row a group
+    out, aim = [], each + 6 * int(each**0.5) + 30
+    while left:
+        cuts = [(g, min((1 << 63) - 1, -(1 << 63) + int(aim / n * 2.0**64))) for g, n in left.items()]
+        kind = rows.schema[group].dataType.simpleString()
+        small = F.broadcast(rows.sparkSession.createDataFrame(cuts, f"{group} {kind}, cut long"))
+        got: dict = {}
+        for r in keyed.join(small, group).where(F.col("h") <= F.col("cut")).drop("cut").distinct().collect():
+            got.setdefault(r[group], []).append(r)
+        for g, n in list(left.items()):
+            if len(got.get(g, ())) >= each or aim >= n:
+                out += sorted(got.get(g, ()), key=lambda r: r["h"])[:each]
+                del left[g]
+        aim *= 8
+    return out
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that were written inside are deleted at its end, but for those that `keep` names."""
+    app = spark.sparkContext.applicationId
+    outer = _written.get(app)
+    _written[app] = []
+    try:
+        yield
+    finally:
+        for path in _written.pop(app):
+            _delete(spark, path)
+        if outer is not None:
+            _written[app] = outer
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Takes a table that materialize wrote out of the scope it was written in."""
+    own = _written.get(df.sparkSession.sparkContext.applicationId, [])
+    if df._lorebase_path in own:
+        own.remove(df._lorebase_path)
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes what materialize wrote, once nothing reads it any more."""
     path = getattr(df, "_lorebase_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

@@ -22,10 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices, tune
+from .common import slices, smallest_hashes, tune
 
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb fy yi",
@@ -159,10 +158,8 @@ class Model:
 def training_sample(docs: DataFrame, per_lang: int, longest: int) -> tuple[list[str], list[str]]:
     """Texts and languages of a bounded sample of rows with both."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, longest))
-    # only ids are shuffled; the texts of the chosen ones, of which there are at most per_lang a language, are read again
-    ids = rows.where(F.col("doc_id").isNotNull()).select("lang", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).distinct()
-    ranked = ids.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_lang)
-    chosen = [(r["lang"], r["doc_id"], r["h"]) for r in ranked.collect()]
+    # only ids are moved; the texts of the chosen ones, of which there are at most per_lang a language, are read again
+    chosen = [(r["lang"], r["doc_id"], r["h"]) for r in smallest_hashes(rows.where(F.col("doc_id").isNotNull()), "lang", per_lang)]
     names = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, doc_id long, h long"))
     texts = rows.join(names, ["lang", "doc_id"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     got = sorted((r["lang"], r["h"], r["text"]) for r in texts.collect())

@@ -24,11 +24,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import LOWER, NON_WORD, Words, slices, tune
+from .common import LOWER, NON_WORD, Words, slices, smallest_hashes, tune
 
 WORD_BITS, STEM_BITS, STEM = 15, 13, 5
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
@@ -212,13 +210,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     net = Net()
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     fit = docs.where(train & F.col("text").isNotNull() & F.length("text").between(1, longest))
-    # only ids are shuffled; the texts of the chosen ones, of which there are at most 2 * per_class, are read again
-    rows = fit.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    # only ids are moved; the texts of the chosen ones, of which there are at most 2 * per_class, are read again
+    rows = fit.select("doc_id").distinct().join(marks, F.col("doc_id") == F.col("label_id")).select("doc_id", "toxic")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (total.get(0) and total.get(1)):
         return net
-    ranked = rows.withColumn("rn", F.row_number().over(W.partitionBy("toxic").orderBy("h"))).where(F.col("rn") <= per_class)
-    chosen = {r["doc_id"]: (r["h"], r["toxic"]) for r in ranked.collect()}
+    chosen = {r["doc_id"]: (r["h"], r["toxic"]) for r in smallest_hashes(rows, "toxic", per_class)}
     texts = fit.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     got = [r for r in sorted((*chosen[r["doc_id"]], r["text"]) for r in texts.collect()) if re.search(r"\w", r[2])]
     y = np.array([r[1] for r in got], np.float64)
@@ -243,21 +240,26 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
 
 
 def score_toxicity(docs: DataFrame, net: Net) -> DataFrame:
-    """docs' columns doc_id, score and predicted, for every row."""
-    return with_toxicity(docs.select("doc_id", "text"), net).drop("text")
+    """doc_id, score and predicted, for every row of docs."""
+    tune(docs.sparkSession)
 
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folded = net.fold()
+        for batch in slices(batches, most=1 << 20):
+            p = net.score(batch.column(1), folded)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-def with_toxicity(docs: DataFrame, net: Net) -> DataFrame:
-    """docs with columns score and predicted, of which docs' own are replaced."""
+    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, net: Net) -> DataFrame:
+    """docs, all its columns as they are, without the rows whose text the net rejects."""
     tune(docs.sparkSession)
-    docs = docs.drop("score", "predicted")
     at = docs.columns.index("text")
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folded = net.fold()
         for batch in slices(batches, most=1 << 20):
-            p = net.score(batch.column(at), folded)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield batch.filter(pa.array(net.score(batch.column(at), folded) < 0.5))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(clean, docs.schema)

@@ -158,6 +158,30 @@ def test_every_language_is_learned(spark):
     assert set(langs) == {f"l{k}" for k in range(43)}
 
 
+def test_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    ids = [(g, i) for g, n in (("a", 3000), ("b", 40), (None, 5)) for i in range(n)] + [("c", 1)] * 900 + [("c", i) for i in range(20)]
+    df = spark.createDataFrame(ids, "g string, doc_id long")
+    every = df.where("g is not null").distinct().select("g", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()
+    want = {(x.g, x.doc_id) for g in "abc" for x in sorted((y for y in every if y.g == g), key=lambda y: y.h)[:50]}
+    got = common.smallest_hashes(df.where("g is not null"), "g", 50)
+    assert {(x.g, x.doc_id) for x in got} == want and len(got) == len(want)
+
+
+def test_language_scores_are_those_of_feature_vectors(spark):
+    """The one-pass scores against machines applied to explicit feature vectors."""
+    r = random.Random(15)
+    kinds = {"en": "the of and house water that", "de": "der die und haus wasser über", "fr": "le la et maison eau très", "nl": "de het en huis water een"}
+    rows = [(i, " ".join(r.choice(kinds[k].split()) for _ in range(r.randrange(1, 40))), k) for i, k in enumerate([*kinds] * 15)] + [(99, "A" * 70_000 + " der die und"), (98, "é")]
+    docs = table(spark, rows)
+    model = language.train_language(docs, docs.doc_id >= 0, longest=500)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(docs, model).collect()}
+    langs, score = model.decide(language.shares([x[1] for x in rows]).astype(np.float64) @ model.weights)
+    for (i, *_), lang, p in zip(rows, langs, score, strict=True):
+        assert got[i][0] == lang and abs(got[i][1] - p) < 1e-3
+
+
 # 4
 def test_toxicity(spark):
     r = random.Random(6)
@@ -181,6 +205,27 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.score_toxicity(docs, blank).collect()} == {0.0}
 
 
+def test_toxicity_scores_are_those_of_plain_convolutions(spark):
+    """The folded tables and reductions against filters applied window by window."""
+    r = random.Random(16)
+    net = toxicity.Net()
+    net.empty = False
+    net.word *= 40
+    net.threshold[:] = np.linspace(-1, 1, len(net.threshold))
+    texts = [" ".join(rng_words(r, r.choice((1, 2, 3, 30)), 500)) + r.choice(("", " the and of", " der die und")) for _ in range(60)] + ["x " * 40_000, "idiot"]
+    w, word, stem = toxicity.word_ids(pa.array(texts))
+    langs = toxicity.guess_language(w, w.hashes())
+    got = net.score(pa.array(texts), net.fold())
+    for i, (a, b) in enumerate(zip(w.bounds[:-1], w.bounds[1:], strict=True)):
+        e = (net.word[word[a:b]] + net.stem[stem[a:b]]).astype(np.float64)
+        z = []
+        for width in toxicity.WIDTHS:
+            values = [sum(e[k + j] @ net.filters[width][j] for j in range(width)) for k in range(len(e) - width + 1)]
+            z.append(np.max(values, axis=0) + net.bias[width] if values else np.full(toxicity.FILTERS, -1.0))
+        logit = np.maximum(np.concatenate(z), 0) @ net.out + net.out_bias - net.threshold[langs[i]]
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-30, min(30, logit))))) < 1e-4
+
+
 # 5
 def test_leaks(spark):
     r = random.Random(7)
