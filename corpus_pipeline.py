@@ -1,7 +1,11 @@
 """The corpus pipeline: documents through toxicity, near-dedup, decontamination, secrets and mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
-reread as the next stage's docs. All but the last return the columns of docs.
+reread as the next stage's docs. All but the last return the columns of docs, whatever they are named.
+
+Edge cases: rows without text, with an empty or a very long one, or without id go through every stage
+(null texts are clean, have no duplicates, hold no item or secret, and have size 0); rows that repeat an id
+are judged by near-duplicates as one document, and else each by its own text; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorebase.llm import decontaminate, mixing, near_dup, secret_scan, toxicity
-from lorebase.llm.common import materialize, read
+from lorebase.llm.common import drop_table, keep, materialize, read, scope
 from lorebase.llm.queries import held_out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject. Rows without text stay."""
     net = toxicity.train_toxicity(docs, read(spark, sf_dir, "labels"), ~held_out(5, 0))
-    return toxicity.with_toxicity(docs, net).where("predicted = 0").select(docs.columns)
+    return toxicity.drop_toxic(docs, net)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The classifier and the sketches can't be told in SQL; tests hold each stage against a plain version.
+#: The classifier and the sketches can't be told in SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 
@@ -58,5 +62,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each result written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scope(spark):  # what the stage wrote on its way goes with it
+            docs = keep(materialize(stage(spark, docs, sf_dir), name))
+        drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
