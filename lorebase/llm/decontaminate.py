@@ -1,16 +1,17 @@
 """Benchmark decontamination: BM25 with block-max pruning over an inverted index of test items.
 
-The index holds the items: postings with impacts, and per term the largest impact in each block of
-items. Impacts are divided by the item's own threshold (a share of the score it gives itself), so the
-threshold is 1 for all. Every training passage is a query: windows of twice the longest item, half a
+The index holds the items: posting lists with impacts, cut in segments by blocks of items, with the largest
+impact of each segment. Impacts are divided by the item's own threshold (a share of the score it gives itself), so
+the threshold is 1 for all. Every training passage is a query: windows of twice the longest item, half a
 window apart, so any occurrence of an item lies in one. As in block-max WAND, a window is dropped when the
-lists' maxima don't sum to the threshold, a block of items when its block maxima don't, and only what is
-left is scored in full; no item over the threshold is lost. A retrieved item counts as leaked if the
+lists' maxima don't sum to the threshold, a block of items is skipped when its segments' maxima don't, and in the
+blocks left pivots skip to the items that can reach it; no item over the threshold is lost. A retrieved item counts as leaked if the
 passage holds enough of its five-word shingles, of its question (the first two thirds) and of its
 answer (the rest) alike.
 
-Scale: texts are read once and never move; the index is built from up to `block` items at a time
-(a checked bound on what tasks get), further items take further passes.
+Scale: texts are read once and never move; an index is built from about `block` items or 16 MB of them at a
+time, whose size in memory is some ten times that of the items (a checked bound on what tasks get); further items
+take further passes, with word statistics of all items, so scores don't depend on the passes.
 
 Edge cases: null or empty items match nothing; items under five words are one shingle; null texts have no
 passages; repeated items each report; further columns are ignored. One row per document and item.
@@ -18,6 +19,8 @@ passages; repeated items each report; further columns are ignored. One row per d
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,30 +32,43 @@ from pyspark.sql import functions as F
 from .common import LOWER, NON_WORD, Words, drop_table, materialize, slices, tune, windows
 
 SHINGLE = 5
-GROUP, BLOCK_ITEMS = 256, 8
+BLOCK_ITEMS = 4
+#: Bounds (windows x blocks) that one step holds.
+CELLS = 1 << 20
 K1, B = 1.2, 0.75
+#: The threshold, 1, less what sums may lose in rounding.
+ENOUGH = 1 - 1e-9
 SCHEMA = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
 
 
 class Index:
-    """An inverted index of up to GROUP items."""
+    """Posting lists of the items with impacts; blocks of items with the largest impact of each term in them."""
 
     def __init__(self, ids: list[int], seqs: list[np.ndarray], share: float, df: dict[int, int], n: int, avg: float):
         order = sorted(range(len(ids)), key=lambda i: len(seqs[i]))  # blocks of like lengths have tight maxima
-        self.ids, self.seqs = [ids[i] for i in order], [seqs[i] for i in order]
+        self.ids, self.seqs, self.share = [ids[i] for i in order], [seqs[i] for i in order], share
         self.vocab = np.unique(np.concatenate(self.seqs))
         count = np.array([df[int(t)] for t in self.vocab])
         idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
-        self.impact = np.zeros((len(self.vocab), len(self.ids)), np.float32)
+        terms, items, impacts = [], [], []
         for i, s in enumerate(self.seqs):
             t, tf = np.unique(s, return_counts=True)
             at = np.searchsorted(self.vocab, t)
             w = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(s) / avg))
-            self.impact[at, i] = w / (share * w.sum())
-        self.share = share
-        self.starts = np.arange(0, len(self.ids), BLOCK_ITEMS)
-        self.block_max = np.maximum.reduceat(self.impact, self.starts, axis=1)
-        self.list_max = self.block_max.max(1)
+            terms.append(at)
+            items.append(np.full(len(at), i))
+            impacts.append(w / (share * w.sum()))
+        term, item, impact = (np.concatenate(x) for x in (terms, items, impacts))
+        sort = np.lexsort((item, term))
+        term, self.item, self.impact = term[sort].astype(np.int64), item[sort].astype(np.int32), impact[sort]
+        # a segment is the stretch of a term's list that lies in one block of items
+        block = self.item // BLOCK_ITEMS
+        self.segments = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        self.seg_block, self.seg_max = block[self.segments], np.maximum.reduceat(self.impact, self.segments)
+        self.seg_end = np.append(self.segments[1:], len(term))
+        self.lists = np.searchsorted(term[self.segments], np.arange(len(self.vocab) + 1))  # the segments of each term
+        self.list_max = np.maximum.reduceat(self.seg_max, self.lists[:-1])
+        self.blocks = -(-len(self.ids) // BLOCK_ITEMS)
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.vocab >> np.uint64(44)] = True
         self.parts = []
@@ -75,24 +91,77 @@ class Index:
     def retrieve(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[int, int, float]]:
         """(window, item, score over threshold) for the windows h[lo:hi] of words."""
         at, t = self.terms(h)
-        total = np.concatenate([[0.0], np.cumsum(self.list_max[t], dtype=np.float64)])
+        total = np.concatenate([[0.0], np.cumsum(self.list_max[t])])
         a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
-        for w in np.flatnonzero(total[b] - total[a] >= 1 - 1e-4):
-            own = np.unique(t[a[w] : b[w]])
-            bound = self.block_max[own].sum(0)
-            for k in np.flatnonzero(bound >= 1 - 1e-4):
-                first = self.starts[k]
-                score = self.impact[own, first : first + BLOCK_ITEMS].sum(0)
-                for i in np.flatnonzero(score >= 1 - 1e-4):
-                    yield int(w), int(first + i), float(score[i])
+        some = np.flatnonzero(total[b] - total[a] >= ENOUGH)
+        step = max(1, CELLS // self.blocks)
+        for k in range(0, len(some), step):
+            yield from self._retrieve(some[k : k + step], a, b, t)
+
+    def _retrieve(self, some: np.ndarray, a: np.ndarray, b: np.ndarray, t: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        # the distinct terms of every window, and their segments
+        n = b[some] - a[some]
+        window = np.repeat(np.arange(len(some)), n)
+        term = t[np.arange(n.sum()) + np.repeat(a[some] - (np.cumsum(n) - n), n)]
+        key = np.unique(window * len(self.vocab) + term)
+        window, term = key // len(self.vocab), key % len(self.vocab)
+        enough = np.bincount(window, self.list_max[term], len(some)) >= ENOUGH
+        window, term = window[enough[window]], term[enough[window]]
+        n = self.lists[term + 1] - self.lists[term]
+        seg = np.arange(n.sum()) + np.repeat(self.lists[term] - (np.cumsum(n) - n), n)
+        cell = np.repeat(window, n) * self.blocks + self.seg_block[seg]
+        bound = np.bincount(cell, self.seg_max[seg], len(some) * self.blocks)
+        left = bound[cell] >= ENOUGH
+        cell, seg = cell[left], seg[left]
+        order = np.argsort(cell, kind="stable")
+        cell, seg = cell[order], seg[order]
+        cut = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else []
+        starts, ends, tops = self.segments[seg].tolist(), self.seg_end[seg].tolist(), self.seg_max[seg].tolist()
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            lists = [(self.item[i:j].tolist(), self.impact[i:j].tolist(), m) for i, j, m in zip(starts[x:y], ends[x:y], tops[x:y], strict=True)]
+            for i, score in wand(lists, ENOUGH):
+                yield int(some[cell[x] // self.blocks]), i, score
 
     def overlaps(self, h: np.ndarray, item: int) -> list[float]:
         """The shares of the item's, its question's and its answer's shingles that h holds."""
         return [float(np.isin(s, windows(h, k)).mean()) if len(s) else 1.0 for k, s in self.parts[item]]
 
 
+def wand(lists: list[tuple[list[int], list[float], float]], least: float) -> Iterator[tuple[int, float]]:
+    """(item, score) of at least `least` from posting lists (items in order, impacts, largest impact).
+
+    The pivot is the first item, in order, at which the maxima of the lists that stand at or before it reach
+    `least`; lists before it skip there at once, as no item before it can reach it.
+    """
+    cursors = [[items[0], 0, items, impacts, top] for items, impacts, top in lists]
+    while cursors:
+        cursors.sort(key=lambda c: c[0])
+        reach, pivot = 0.0, None
+        for c in cursors:
+            reach += c[4]
+            if reach >= least:
+                pivot = c[0]
+                break
+        if pivot is None:
+            return
+        if cursors[0][0] == pivot:
+            here = [c for c in cursors if c[0] == pivot]
+            score = math.fsum(c[3][c[1]] for c in here)
+            if score >= least:
+                yield pivot, score
+            for c in here:
+                c[1] += 1
+        else:
+            for c in cursors:
+                if c[0] < pivot:
+                    c[1] = bisect_left(c[2], pivot, c[1])
+        cursors = [c for c in cursors if c[1] < len(c[2])]
+        for c in cursors:
+            c[0] = c[2][c[1]]
+
+
 def build(rows: list[tuple[int, str]], share: float, whole: tuple[dict[int, int], int, float, int] | None = None) -> tuple[list[Index], int]:
-    """Indexes of the items, and the longest item's words; whole: df, items, mean and longest length where rows are a block of more."""
+    """The index of the items (none without items), and the longest item's words; whole: df, items, mean and longest length where rows are a block of more."""
     rows = [r for r in rows if r[0] is not None and r[1]]
     if not rows:
         return [], 0
@@ -110,8 +179,7 @@ def build(rows: list[tuple[int, str]], share: float, whole: tuple[dict[int, int]
             for t in np.unique(seqs[i]).tolist():
                 df[t] = df.get(t, 0) + 1
         n, avg, longest = len(keep), float(np.mean([len(seqs[i]) for i in keep])), max(len(seqs[i]) for i in keep)
-    groups = [keep[i : i + GROUP] for i in range(0, len(keep), GROUP)]
-    return [Index([rows[i][0] for i in g], [seqs[i] for i in g], share, df, n, avg) for g in groups], longest
+    return [Index([rows[i][0] for i in keep], [seqs[i] for i in keep], share, df, n, avg)], longest
 
 
 def leaks_in(texts: pa.Array, indexes: list[Index], longest: int, least: float, least_part: float) -> list[tuple[int, int, float, list[float]]]:

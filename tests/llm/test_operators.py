@@ -252,6 +252,61 @@ def test_leak_scores_do_not_depend_on_blocks(spark):
     assert one.keys() == many.keys() and len(one) >= 40 and all(abs(one[k] - many[k]) < 1e-6 for k in one)
 
 
+def test_wand_finds_what_a_full_sum_finds():
+    r = random.Random(17)
+    for _ in range(300):
+        lists = []
+        for _ in range(r.randrange(1, 12)):
+            items = sorted(r.sample(range(40), r.randrange(1, 25)))
+            impacts = [r.random() * 0.4 for _ in items]
+            lists.append((items, impacts, max(impacts)))
+        total = defaultdict(float)
+        for items, impacts, _ in lists:
+            for i, x in zip(items, impacts, strict=True):
+                total[i] += x
+        got = dict(decontaminate.wand(lists, 1.0))
+        assert got.keys() == {i for i, x in total.items() if x >= 1.0} and all(abs(x - total[i]) < 1e-9 for i, x in got.items())
+
+
+def plain_leaks(rows, items, share=0.5, least=0.8, least_part=0.5):
+    """All pairs of passage windows and items by plain BM25 and shingle sets."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    items = [(i, split(t)) for i, t in items if i is not None and split(t)]
+    df = Counter(w for _, s in items for w in set(s))
+    n, avg, step = len(items), sum(len(s) for _, s in items) / max(1, len(items)), max([5, *(len(s) for _, s in items)])
+    shingles = lambda s, k: {tuple(s[i : i + k]) for i in range(len(s) - k + 1)}
+    part = lambda s, held: len(shingles(s, k) & shingles(held, k)) / len(shingles(s, k)) if (k := min(5, max(1, len(s)))) and s else 1.0
+    out = defaultdict(float)
+    for doc, t in rows:
+        words = split(t)
+        for lo in range(0, max(step, len(words) - step), step) if words else ():
+            held = words[lo : lo + 2 * step]
+            for i, s in items:
+                weight = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(s) / avg)) for w, c in Counter(s).items()}
+                score = sum(weight[w] for w in set(held) & set(s)) / sum(weight.values())
+                cut = -(-2 * len(s) // 3)
+                if score >= share - 1e-9 and part(s, held) >= least and min(part(s[:cut], held), part(s[cut:], held)) >= least_part:
+                    out[doc, i] = max(out[doc, i], score)
+    return out
+
+
+def test_leaks_are_those_of_plain_bm25(spark):
+    r = random.Random(18)
+    items = [(i, " ".join(rng_words(r, r.randrange(3, 60), 80))) for i in range(60)] + [(7, "w1 w2 w3 w4"), (90, None), (91, ""), (92, ", ;")]
+    rows = odd_rows()[:4] + [(None, items[3][1])]
+    for i in range(120):  # parts of items, changed words, and long texts around them
+        s = items[r.randrange(60)][1].split()
+        s = [w if r.random() < 0.99 else "x" for w in s[: r.randrange(len(s) * 7 // 8, len(s) + 1)]]
+        rows.append((100 + i, " ".join(rng_words(r, r.randrange(0, 300), 80) + s + rng_words(r, r.randrange(90), 80))))
+    rows += [(100, items[5][1]), (400, " ".join(rng_words(r, 20_000, 80)) + " " + items[6][1])]
+    want = plain_leaks(rows, items)
+    bench = spark.createDataFrame([(*x, "c", 1.0) for x in items], "item_id long, text string, doc_id string, score double")
+    for block in (20_000, 9):
+        got = {(x.doc_id, x.item_id): x.score for x in sorted(decontaminate.find_leaks(table(spark, rows), bench, block=block).collect(), key=lambda x: x.score)}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len(want) > 40
+
+
 # 6
 def test_neighbours(spark):
     r = np.random.default_rng(2)
