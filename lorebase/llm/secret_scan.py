@@ -2,14 +2,14 @@
 
 Base kinds are regular expressions: assignments to password-like names, access key ids and long
 runs of hex. The method adds spans of kind "entropy": in every run of key-like characters, a
-window slides over the run while the counts of its characters, and with them the sum of
-c log c, are updated in constant time a step. A window counts by the class of its characters
-(hex, mixed with both letters and digits, or letters alone), each with a threshold of its own; windows
+window slides over the run; a step takes one character out and one in, and the counts of the two in the window
+change the sum of c log c by two entries of a table (whole numbers, so a window's entropy doesn't depend on where it
+stands). All runs of a text are done at once. A window counts by the class of its characters (hex; letters and digits,
+with signs or not; letters alone; letters of both cases and signs), each with a threshold of its own; windows
 over the threshold that touch are one span. An allow-list (UUIDs, integrity hashes, and words of letters and
 digits that hold an alphabet or a placeholder) cuts its own stretches out of a run, and the rest is judged;
 it never suppresses base spans, and a span that a base span already holds is not told twice.
-Windows of letters and signs without a digit are not judged, as paths and hyphenated words are such, and
-random letters of one case often stay under the threshold of letters, as their entropy is that of words.
+Random letters of one case often stay under the threshold of letters, as their entropy is that of words.
 
 Scale: one pass over the texts in Arrow slices, no shuffle. Edge cases: null text is empty and has
 no spans; ids may be null or repeated; a text of any length is scanned whole; further columns are
@@ -19,10 +19,13 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -37,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 #: Bits a character, of at most log2(WINDOW) = 4.32.
-THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.8}
+THRESHOLDS = {"hex": 3.0, "mixed": 3.6, "letters": 3.8, "signs": 4.0}
 ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"^sha(?:1-[A-Za-z0-9+/]{0,27}|256-[A-Za-z0-9+/]{0,43}|384-[A-Za-z0-9+/]{0,64}|512-[A-Za-z0-9+/]{0,86})={0,2}"),
@@ -45,33 +48,60 @@ ALLOW = (
 #: Suppresses the whole word of letters and digits that holds it.
 PLACEHOLDER = re.compile(r"(?i)example|placeholder|changeme|abcdefgh|0123456789|qwertyui")
 _WORD = re.compile(r"[A-Za-z0-9]+")
-_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
-_CLOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # a character enters before the oldest leaves
-
-
-def entropy_spans(run: str, window: int = WINDOW) -> list[tuple[int, int]]:
-    """(start, end) of what the windows over their class's threshold cover, by incremental counts."""
-    counts: dict[str, int] = {}
-    total = 0.0  # the sum of c log2 c
-    digits = letters = others = 0
-    out: list[list[int]] = []
-    for i, ch in enumerate(run):
-        for c, step in ((ch, 1), (run[i - window], -1)) if i >= window else ((ch, 1),):
-            n = counts.get(c, 0)
-            total += _CLOG[n + step] - _CLOG[n]
-            counts[c] = n + step
-            digits += step * c.isdigit()
-            letters += step * c.isalpha()
-            others += step * (c not in _HEX_DIGITS)
-        if i >= window - 1 and letters and (digits or letters == window):
-            bits = math.log2(window) - total / window
-            if bits >= THRESHOLDS["letters" if not digits else "mixed" if others else "hex"]:
-                start = i - window + 1
-                if out and start <= out[-1][1]:
-                    out[-1][1] = i + 1
-                else:
-                    out.append([start, i + 1])
-    return [(a, b) for a, b in out]
+#: Fixed-point units of a bit.
+UNIT = 1 << 32
+_CLOG = np.array([0] + [round(c * math.log2(c) * UNIT) for c in range(1, WINDOW + 1)], np.int64)
+_DIGIT, _LOWER, _UPPER, _NOT_HEX = (np.zeros(128, bool) for _ in range(4))
+_DIGIT[48:58] = _LOWER[97:123] = _UPPER[65:91] = _NOT_HEX[:] = True
+_NOT_HEX[[ord(c) for c in "0123456789abcdefABCDEF"]] = False
+#: The largest sum of c log c with which a window reaches its class's threshold.
+_MOST = {k: math.floor(WINDOW * (math.log2(WINDOW) - v) * UNIT + WINDOW) for k, v in THRESHOLDS.items()}
+
+
+def entropy_spans(runs: list[str], window: int = WINDOW) -> list[list[tuple[int, int]]]:
+    """For each run (of ASCII, at least a window long) the (start, end) of what windows over their class's threshold cover."""
+    if not runs:
+        return []
+    code = np.frombuffer("".join(runs).encode(), np.uint8).astype(np.int64)
+    n, size = len(code), np.array([len(r) for r in runs])
+    starts = np.cumsum(size) - size
+    run = np.repeat(np.arange(len(runs)), size)
+    # places in order of (run, character): a count in a stretch is a difference of two ranks
+    key = ((run << 7) | code) * n + np.arange(n)
+    order = np.sort(key)
+    rank = np.empty(n, np.int64)
+    rank[order % n] = np.arange(n)
+    at = np.arange(n)
+    full = at - starts[run] >= window
+    out = at[full] - window
+    left = np.searchsorted(order, key[out] - out + at[full]) - rank[out]  # the leaving character's count before it leaves
+    entering = rank - np.searchsorted(order, key - at + np.maximum(at - window + 1, starts[run]))  # the entering one's count before
+    step = _CLOG[entering + 1] - _CLOG[entering]
+    step[full] -= _CLOG[left] - _CLOG[left - 1]
+    total = np.cumsum(step)
+    before = np.concatenate([[0], total])[starts]
+    total -= before[run]
+
+    def held(kind: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(kind[code])])
+        return sums[ends + 1] - sums[ends + 1 - window]
+
+    ends = np.flatnonzero(at - starts[run] >= window - 1)
+    digits, low, up, others = (held(x) for x in (_DIGIT, _LOWER, _UPPER, _NOT_HEX))
+    letters, sums = low + up, total[ends]
+    most = np.full(len(ends), -1, np.int64)
+    most[(letters > 0) & (digits > 0)] = _MOST["mixed"]
+    most[(letters > 0) & (digits > 0) & (others == 0)] = _MOST["hex"]
+    most[letters == window] = _MOST["letters"]
+    most[(digits == 0) & (letters < window) & (low > 0) & (up > 0)] = _MOST["signs"]
+    ends = ends[sums <= most]
+    spans: list[list[tuple[int, int]]] = [[] for _ in runs]
+    if len(ends):
+        cut = np.flatnonzero(np.concatenate([[True], (ends[1:] - ends[:-1] > window) | (run[ends[1:]] != run[ends[:-1]]), [True]]))
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            r = int(run[ends[lo]])
+            spans[r].append((int(ends[lo] - starts[r]) - window + 1, int(ends[hi - 1] - starts[r]) + 1))
+    return spans
 
 
 def judged(run: str) -> list[tuple[int, int]]:
@@ -97,14 +127,15 @@ def find_spans(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple
     base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base.sort(key=order)
+    starts = [x[0] for x in base]
+    reach = list(itertools.accumulate((x[1] for x in base), max))
+    parts = [(m.start() + lo, m.start() + hi) for m in RUN.finditer(text) for lo, hi in judged(m.group())]
     more = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        for lo, hi in judged(run):
-            for a, b in entropy_spans(run[lo:hi]):
-                a, b = m.start() + lo + a, m.start() + lo + b
-                if not any(s <= a and b <= e for s, e, _ in base):
-                    more.append((a, b, "entropy"))
+    for (lo, hi), found in zip(parts, entropy_spans([text[lo:hi] for lo, hi in parts]), strict=True):
+        for a, b in found:
+            k = bisect_right(starts, lo + a)
+            if not (k and reach[k - 1] >= lo + b):  # no base span holds it
+                more.append((lo + a, lo + b, "entropy"))
     return base, sorted(base + more, key=order)
 
 

@@ -502,18 +502,43 @@ def test_random_letters_are_secrets():
     assert not secret_scan.find_spans("x" * 500 + " internationalizationalism lorebase/operators/consolidation")[1]
 
 
-def test_entropy_counts_match_a_fresh_count():
-    r = random.Random(1)
-    run = "".join(r.choice("abcdefABCDEF0123456789+/") for _ in range(200))
-    w = secret_scan.WINDOW
-    want = set()
+def plain_entropy(run):
+    """The places that windows over the threshold cover, by a fresh count of each window."""
+    w, want = secret_scan.WINDOW, set()
     for i in range(len(run) - w + 1):
         part = run[i : i + w]
         bits = -sum(c / w * math.log2(c / w) for c in Counter(part).values())
-        kind = "hex" if all(c in "0123456789abcdefABCDEF" for c in part) else "mixed"
-        if any(map(str.isdigit, part)) and any(map(str.isalpha, part)) and bits >= secret_scan.THRESHOLDS[kind]:
+        digits, letters, both = any(map(str.isdigit, part)), any(map(str.isalpha, part)), part != part.lower() and part != part.upper()
+        hexes = all(c in "0123456789abcdefABCDEF" for c in part)
+        kind = ("hex" if hexes else "mixed") if digits and letters else "letters" if part.isalpha() else "signs" if both and not digits else None
+        if kind and bits >= secret_scan.THRESHOLDS[kind]:
             want |= set(range(i, i + w))
-    assert {x for a, b in secret_scan.entropy_spans(run) for x in range(a, b)} == want
+    return want
+
+
+def test_entropy_counts_match_a_fresh_count():
+    r = random.Random(1)
+    kinds = ["abcdefABCDEF0123456789+/", "0123456789abcdef", "qwertyuiopASDFGHJKLzxcvbnm", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/-_", "ab1", "0123456789", "aB/"]
+    runs = ["".join(r.choice(r.choice(kinds)) if r.random() < 0.1 else r.choice(k) for _ in range(r.randrange(20, 300))) for k in kinds * 12]
+    for run, spans in zip(runs, secret_scan.entropy_spans(runs), strict=True):
+        assert {x for a, b in spans for x in range(a, b)} == plain_entropy(run), run
+        assert all(b < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_secrets_take_linear_time():
+    import time
+
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("abcdefghijABCDEFGHIJ0123456789") for _ in range(n))
+    took = []
+    for n in (2_000, 20_000):
+        text = "\n".join(f"password = {key(12)} {key(30)}" for _ in range(n))
+        began = time.time()
+        base, every = secret_scan.find_spans(text)
+        took.append(time.time() - began)
+        assert len(base) == n and len(every) > 1.9 * n
+    assert took[1] < 60 * took[0] and took[1] < 20
+    assert secret_scan.find_spans(key(1_000_000))[1] and time.time() - began < 30
 
 
 def test_empty_tables(spark):
