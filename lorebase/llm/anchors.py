@@ -10,7 +10,7 @@ doesn't imply), one row per slice of texts and bucket. A bucket holds its distin
 and streams the probes past them, so a passage that a third of all documents share takes one entry. Hits come
 back by document; only there are texts read again, and only windows near hits are compared, by 96-bit
 hashes: each slice of texts first settles its own repeats and sends one document a distinct window.
-Buckets grow in number with the input.
+A task has one bucket, and buckets grow in number with the input.
 
 Edge cases: null texts have no words; texts under 50 words lose none; rows that repeat an id are judged each by
 its own text, and not against each other; rows without id keep all their words and are no reference; further columns are ignored.
@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, binaries, drop_table, input_bytes, materialize, parts, release, slices, tune, windows
+from .common import Words, binaries, deal, input_bytes, materialize, release, slices, tune, windows
 
 WINDOW, BLOCK = 50, 25
-#: Stored bytes of text a bucket (some four million words).
-BUCKET_BYTES = 16 << 20
+#: Stored bytes of text a bucket, up to MANY buckets; from there on buckets grow, to LARGE_BYTES, before they multiply again.
+BUCKET_BYTES, MANY, LARGE_BYTES = 16 << 20, 4096, 512 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
-def _bits(docs: DataFrame) -> int:
-    return max(5, min(16, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
+def _bits(stored: int, each: int = BUCKET_BYTES) -> int:
+    """log2 of the number of buckets: each holds some `each` bytes. Rows pack a slice's probes by bucket, so buckets
+    beyond MANY would leave single probes in a row; they hold up to LARGE_BYTES first, whose blocks take under 100 MB."""
+    return max(2, min(stored // each, max(MANY, stored // LARGE_BYTES)).bit_length())
 
 
 def _rolling(w: Words, h: np.ndarray, k: int, salt: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +96,7 @@ def _probes(docs: DataFrame, bits: int, block: int) -> DataFrame:
 
 def _hits(probes: DataFrame, bits: int) -> DataFrame:
     """(id, bucket, keys): the block hashes that a document shares with another, itself holding them or not."""
-    spread = probes.repartition(parts(probes.sparkSession, 1 << bits, 8), "bucket").sortWithinPartitions("bucket", "kind")
+    spread = deal(probes, 1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
     def emit(bucket: int, ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
         cut = _cut(ids)
@@ -211,7 +213,7 @@ def _repeats(staged: DataFrame, window: int) -> DataFrame:
     A slice of texts tells its own repeats at once and sends on, for each distinct window, only its
     smallest document's places, so what meets in a bucket is one entry a slice however often a passage occurs.
     """
-    bits = max(5, min(16, (input_bytes(staged) // BUCKET_BYTES).bit_length() + 2))
+    bits = _bits(input_bytes(staged), BUCKET_BYTES // 4)
 
     def packed(bucket: int, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple:
         """Entries in order of text; bucket -1 holds repeats that are known already."""
@@ -252,8 +254,8 @@ def _repeats(staged: DataFrame, window: int) -> DataFrame:
 
     rows = staged.where("starts is not null").select("doc_id", "text", "starts").mapInArrow(spread, _ENTRIES)
     # known repeats need no company: they stay spread
-    salt = F.when(F.col("bucket") < 0, F.xxhash64("ids", "starts"))
-    rows = rows.repartition(parts(staged.sparkSession, 1 << bits, 8), "bucket", salt).sortWithinPartitions("bucket")
+    own = F.when(F.col("bucket") < 0, F.hash("ids", "starts")).otherwise(F.col("bucket"))
+    rows = deal(rows, 1 << bits, own).sortWithinPartitions("bucket")
 
     def told(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((starts, tags, ids))
@@ -302,7 +304,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     spark = docs.sparkSession
     tune(spark)
     docs = docs.select("doc_id", "text")
-    bits = _bits(docs)
+    bits = _bits(input_bytes(docs))
     hits = _hits(_probes(docs, bits, block), bits)
     staged = materialize(_stage(docs, hits, bits, window, block), "staged")
     release(spark)

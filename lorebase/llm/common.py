@@ -15,7 +15,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a worker handles (a longer text is a slice of its own).
@@ -304,6 +304,11 @@ def parts(spark: SparkSession, rows_or_bytes: float, each: float) -> int:
     return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows_or_bytes // each)))
 
 
+def deal(df: DataFrame, n: int, by: Column) -> DataFrame:
+    """df in n partitions, row to partition by % n, so that buckets 0 .. n - 1 don't meet by chance."""
+    return df.repartitionById(n, F.pmod(by.cast("int"), F.lit(n)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
