@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import io
 import math
@@ -420,7 +421,7 @@ def test_components(spark, monkeypatch):
 
 
 # 8
-def test_warc(spark):
+def test_warc(spark, tmp_path, monkeypatch):
     big = "<html>" + "é" * 100 + "</html>"
     rows = [(5, "http://a", big), (3, "http://b\r\nX: y", big), (9, None, big), (4, "u", "small"), (6, "u", "small"), (7, "u", None), (8, "u", ""), (None, "u", big), (3, "http://b", big), (11, "u", "line\r\n\r\nWARC/1.1\r\n" * 20), (12, "u", "x" * 99), (13, "u", "x" * 99)]
     df = spark.createDataFrame([(*x, "c", 1) for x in rows], "page_id long, url string, html string, payload string, payload_bytes int")
@@ -433,6 +434,17 @@ def test_warc(spark):
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", first if again else None))
     assert got == sorted(want, key=repr)
     assert warc.round_trip(df.where("false")).count() == 0
+    monkeypatch.setattr(common, "HOT_ROWS", 1)  # shared payloads as hot ones, and many small archives
+    monkeypatch.setattr(warc, "FILE_BYTES", 500)
+    again = sorted([(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in warc.round_trip(df).collect()], key=repr)
+    assert again == got
+    warc.write_archives(df, str(tmp_path / "warc"))
+    names, targets = [], set()
+    for f in (tmp_path / "warc").glob("*.gz"):
+        for head, _ in warc.parse(gzip.open(f)):
+            names.append(head["warc-record-id"])
+            targets |= {head["warc-refers-to"]} if "warc-refers-to" in head else set()
+    assert len(set(names)) == len(rows) and targets <= set(names) and targets
     with pytest.raises(ValueError, match="cut short"):
         list(warc.parse(io.BytesIO(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")))
 
