@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, tune, with_facts
+from .common import materialize, new_path, parts, tune, with_facts
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string"
@@ -44,7 +44,8 @@ def resolve(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     clean = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]+", " ")
     full = pages.select("page_id", clean.alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(F.encode(payload, "UTF-8"), 256).alias("payload_digest"))
-    files = max(1, -(-(full.agg(F.sum(F.col("payload_bytes") + HEAD_BYTES)).first()[0] or 0) // FILE_BYTES))
+    # at least the session's partitions, or the join would deal the payloads anew
+    files = parts(pages.sparkSession, full.agg(F.sum(F.col("payload_bytes") + HEAD_BYTES)).first()[0] or 0, FILE_BYTES)
     heads = materialize(full.where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "url", "payload_digest"), "heads")
     first = heads.groupBy("payload_digest").agg(F.min(F.struct("page_id", "url")).alias("f"), F.max("page_id").alias("top"), F.count("*").alias("c")).where(F.col("top") > F.col("f.page_id"))
     later = with_facts(heads.select("page_id", "payload_digest"), materialize(first, "first"), "payload_digest").where(F.col("page_id") > F.col("f.page_id"))

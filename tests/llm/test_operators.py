@@ -84,6 +84,12 @@ def test_repeats_property(spark):
     assert by_id(anchors.substring_dedup(table(spark, rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == plain_repeats(rows)
 
 
+def test_least_in():
+    h = np.random.default_rng(1).integers(0, 1 << 60, 100, dtype=np.uint64)
+    for n in (1, 2, 5, 26, 99, 100):
+        assert anchors.least_in(h, n).tolist() == [min(h[i : i + n].tolist()) for i in range(101 - n)]
+
+
 # 2
 def plain_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
