@@ -31,7 +31,7 @@ from .common import Words, binaries, deal, input_bytes, materialize, release, sl
 
 WINDOW, BLOCK = 50, 25
 #: Stored bytes of text a bucket, up to MANY buckets; from there on buckets grow, to LARGE_BYTES, before they multiply again.
-BUCKET_BYTES, MANY, LARGE_BYTES = 16 << 20, 4096, 512 << 20
+BUCKET_BYTES, MANY, LARGE_BYTES = 4 << 20, 4096, 512 << 20
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -207,13 +207,26 @@ def _tag(text: str) -> int:
 _ENTRIES = "bucket int, ids binary, tags binary, counts binary, starts binary, keys binary, checks binary"
 
 
-def _repeats(staged: DataFrame, window: int) -> DataFrame:
+def least_in(h: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each n consecutive hashes, in log n steps."""
+    out, held = h, 1
+    while held < n and len(out):
+        step = min(held, n - held)
+        out = np.minimum(out[:-step], out[step:])
+        held += step
+    return out
+
+
+def _repeats(staged: DataFrame, window: int, block: int) -> DataFrame:
     """(id, tag, starts): the candidate windows that also start in a smaller document.
 
+    A window's bucket is that of the smallest hash among its blocks-long parts, which neighbours mostly have in
+    common: a repeat falls to a few buckets, not to one a window.
+
     A slice of texts tells its own repeats at once and sends on, for each distinct window, only its
     smallest document's places, so what meets in a bucket is one entry a slice however often a passage occurs.
     """
-    bits = _bits(input_bytes(staged), BUCKET_BYTES // 4)
+    bits = _bits(input_bytes(staged), BUCKET_BYTES // 2)
 
     def packed(bucket: int, ids: np.ndarray, tags: np.ndarray, starts: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> tuple:
         """Entries in order of text; bucket -1 holds repeats that are known already."""
@@ -242,7 +255,7 @@ def _repeats(staged: DataFrame, window: int) -> DataFrame:
             if len(known):
                 rows.append(packed(-1, ids[known], tags[known], starts[known], key[:0], check[:0]))
             rest = np.flatnonzero(ids == least)
-            bucket = (key[rest] >> np.uint64(64 - bits)).astype(np.int32)
+            bucket = (least_in(windows(h, block), window - block + 1)[at[rest]] >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             rest, bucket = rest[order], bucket[order]
             cut = _cut(bucket)
@@ -308,7 +321,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -
     hits = _hits(_probes(docs, bits, block), bits)
     staged = materialize(_stage(docs, hits, bits, window, block), "staged")
     release(spark)
-    found = materialize(_repeats(staged, window), "repeats")
+    found = materialize(_repeats(staged, window, block), "repeats")
     release(spark)
     by_text = found.groupBy("id", "tag").agg(F.collect_list("starts").alias("again"))
     open_ = staged.where("starts is not null").withColumn("crc", F.crc32(F.encode("text", "UTF-8")))
