@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binaries, deal, input_bytes, materialize, release, slices, tune, windows
+from .common import Words, binaries, deal, input_bytes, materialize, mix, release, slices, tune, windows
 
 WINDOW, BLOCK = 50, 25
 #: Stored bytes of text a bucket, up to MANY buckets; from there on buckets grow, to LARGE_BYTES, before they multiply again.
@@ -255,7 +255,7 @@ def _repeats(staged: DataFrame, window: int, block: int) -> DataFrame:
             if len(known):
                 rows.append(packed(-1, ids[known], tags[known], starts[known], key[:0], check[:0]))
             rest = np.flatnonzero(ids == least)
-            bucket = (least_in(windows(h, block), window - block + 1)[at[rest]] >> np.uint64(64 - bits)).astype(np.int32)
+            bucket = (mix(least_in(windows(h, block), window - block + 1)[at[rest]]) >> np.uint64(64 - bits)).astype(np.int32)  # the least are small: mix anew
             order = np.argsort(bucket, kind="stable")
             rest, bucket = rest[order], bucket[order]
             cut = _cut(bucket)
