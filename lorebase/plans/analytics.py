@@ -222,36 +222,25 @@ def queue_candidates(spark, sf):
     return C.queue_links(V.similar_pairs(views.vectors(spark, sf), 0.4))
 
 
-_J = "j AS (SELECT id AS a, id + 1 AS b, (['SUPERSEDED', 'EVOLVED', 'CONTRADICTS', 'UNRELATED', 'COMPATIBLE'])[id % 5 + 1] AS verdict FROM memories WHERE id % 4 = 0), k AS (SELECT j.*, x.created_at <= y.created_at AS f, x.verified AS vx, y.verified AS vy, x.importance AS ix, y.importance AS iy, x.valid_until AS ux, y.valid_until AS uy FROM j JOIN memories x ON x.id = a JOIN memories y ON y.id = b)"
+_J = "j AS (SELECT id AS a, id + 1 AS b, (['SUPERSEDED', 'EVOLVED', 'CONTRADICTS', 'UNRELATED', 'COMPATIBLE'])[id % 5 + 1] AS verdict FROM memories), k AS (SELECT j.*, x.created_at <= y.created_at AS f, x.verified AS vx, y.verified AS vy, x.importance AS ix, y.importance AS iy, x.valid_until AS ux, y.valid_until AS uy FROM j JOIN memories x ON x.id = a JOIN memories y ON y.id = b)"
 
 
 _EFFECTS = "SELECT CASE WHEN f THEN a ELSE b END AS older, CASE WHEN f THEN b ELSE a END AS newer, CASE verdict WHEN 'SUPERSEDED' THEN 'superseded_by' WHEN 'EVOLVED' THEN 'evolves' WHEN 'CONTRADICTS' THEN 'contradicts' ELSE 'contradiction-cleared' END AS relation, CASE verdict WHEN 'SUPERSEDED' THEN 0.9 WHEN 'EVOLVED' THEN 0.7 WHEN 'CONTRADICTS' THEN 0.8 ELSE 0.1 END::DOUBLE AS strength, verdict = 'SUPERSEDED' AND NOT (CASE WHEN f THEN vx ELSE vy END = 1 OR CASE WHEN f THEN ix ELSE iy END >= 9) AS archive, CASE WHEN verdict = 'EVOLVED' AND (CASE WHEN f THEN ux ELSE uy END IS NULL OR CASE WHEN f THEN ux ELSE uy END > '2024-02-01') THEN '2024-02-01' END AS valid_until FROM k"
 
 
-def _verdict_effects(spark, sf, first):
-    judged = first.selectExpr("id AS a", "id + 1 AS b", "0.5D AS cosine", "element_at(array('SUPERSEDED', 'EVOLVED', 'CONTRADICTS', 'UNRELATED', 'COMPATIBLE'), CAST(id % 5 + 1 AS INT)) AS verdict")
-    return C.verdict_effects(judged, views.memories(spark, sf), AS_OF)
-
-
 @query(with_more(_J, _EFFECTS))
 def verdict_effects(spark, sf):
-    """Only the pairs that its SQL asks for; verdict_effects_all has every one."""
-    return _verdict_effects(spark, sf, views.memories(spark, sf).where("id % 4 = 0"))
-
-
-@query(with_more(_J.replace(" WHERE id % 4 = 0", ""), _EFFECTS))
-def verdict_effects_all(spark, sf):
-    return _verdict_effects(spark, sf, views.memories(spark, sf))
+    judged = views.memories(spark, sf).selectExpr("id AS a", "id + 1 AS b", "0.5D AS cosine", "element_at(array('SUPERSEDED', 'EVOLVED', 'CONTRADICTS', 'UNRELATED', 'COMPATIBLE'), CAST(id % 5 + 1 AS INT)) AS verdict")
+    return C.verdict_effects(judged, views.memories(spark, sf), AS_OF)
 
 
-_CL = "cl AS (SELECT id - id % 10 AS cluster, id FROM active WHERE id % 10 < 4), m AS (SELECT cl.cluster, memories.* FROM cl JOIN memories USING (id)), pr AS (SELECT cluster, project, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, project) AS rn FROM m GROUP BY 1, 2)"
+_CL = "cl AS (SELECT id - id % 10 AS cluster, id FROM active), m AS (SELECT cl.cluster, memories.* FROM cl JOIN memories USING (id)), pr AS (SELECT cluster, project, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, project) AS rn FROM m GROUP BY 1, 2)"
 
 
-_FEW = " WHERE id % 10 < 4"
 _INHERIT = "SELECT m.cluster, first(pr.project) AS project, max(importance) AS importance, max(consolidation_lock) AS consolidation_lock, max(verified) AS verified, coalesce(arg_min(type, id) FILTER (WHERE type <> 'fact'), 'fact') AS type, max(last_confirmed) AS last_confirmed, string_agg(id::VARCHAR, ',' ORDER BY id) AS source_ids FROM m JOIN pr ON m.cluster = pr.cluster AND rn = 1 GROUP BY 1"
 _TAG_SETS = ", t AS (SELECT cluster, tag, count(DISTINCT id) AS n FROM (SELECT cluster, id, trim(unnest(string_split(tags, ','))) AS tag FROM m) WHERE tag <> '' GROUP BY 1, 2), z AS (SELECT cluster, count(*) AS size FROM cl GROUP BY 1)"
 _TAG_BODY = "SELECT cluster, string_agg(tag, ',' ORDER BY tag) AS all_tags, coalesce(string_agg(tag, ',' ORDER BY tag) FILTER (WHERE n = size), '') AS universal FROM t JOIN z USING (cluster) GROUP BY 1"
-_GATE = "cl AS (SELECT id - id % 10 AS cluster, id FROM active WHERE id % 10 < 4), p AS (SELECT x.cluster, x.id AS a, y.id AS b FROM cl x JOIN cl y ON x.cluster = y.cluster AND x.id < y.id WHERE (x.id * 3 + y.id) % 7 / 7.0 >= 0.7), u AS (SELECT cluster, a AS id FROM p UNION SELECT cluster, b FROM p)"
+_GATE = "cl AS (SELECT id - id % 10 AS cluster, id FROM active), p AS (SELECT x.cluster, x.id AS a, y.id AS b FROM cl x JOIN cl y ON x.cluster = y.cluster AND x.id < y.id WHERE (x.id * 3 + y.id) % 7 / 7.0 >= 0.7), u AS (SELECT cluster, a AS id FROM p UNION SELECT cluster, b FROM p)"
 _GATE_BODY = "SELECT cluster, id FROM u"
 
 
@@ -260,48 +249,21 @@ def _tens(rows):
     return rows.selectExpr("id - id % 10 AS cluster", "id")
 
 
-def _merge_inheritance(spark, sf, cl):
-    return C.inherit(cl, views.memories(spark, sf)).select("cluster", "project", "importance", "consolidation_lock", "verified", "type", "last_confirmed", "source_ids")
-
-
-def _merge_tag_sets(spark, sf, cl):
-    return C.inherit(cl, views.memories(spark, sf)).select("cluster", F.array_join("all_tags", ",").alias("all_tags"), F.array_join("universal", ",").alias("universal"))
-
-
-def _cluster_gate(cl):
-    scores = cl.selectExpr("cluster", "id AS a").join(cl.selectExpr("cluster", "id AS b"), "cluster").where("a < b").selectExpr("a", "b", "(a * 3 + b) % 7 / 7D AS score")
-    return C.gate_clusters(cl, scores)
-
-
 @query(with_more(_CL, _INHERIT))
 def merge_inheritance(spark, sf):
-    """Only the ids that its SQL asks for, as the next two; the forms with _all have every one."""
-    return _merge_inheritance(spark, sf, _tens(views.active(spark, sf).where("id % 10 < 4")))
+    return C.inherit(_tens(views.active(spark, sf)), views.memories(spark, sf)).select("cluster", "project", "importance", "consolidation_lock", "verified", "type", "last_confirmed", "source_ids")
 
 
 @query(with_more(_CL + _TAG_SETS, _TAG_BODY))
 def merge_tag_sets(spark, sf):
-    return _merge_tag_sets(spark, sf, _tens(views.active(spark, sf).where("id % 10 < 4")))
+    return C.inherit(_tens(views.active(spark, sf)), views.memories(spark, sf)).select("cluster", F.array_join("all_tags", ",").alias("all_tags"), F.array_join("universal", ",").alias("universal"))
 
 
 @query(with_more(_GATE, _GATE_BODY))
 def cluster_gate(spark, sf):
-    return _cluster_gate(_tens(views.active(spark, sf).where("id % 10 < 4")))
-
-
-@query(with_more(_CL.replace(_FEW, ""), _INHERIT))
-def merge_inheritance_all(spark, sf):
-    return _merge_inheritance(spark, sf, _tens(views.active(spark, sf)))
-
-
-@query(with_more(_CL.replace(_FEW, "") + _TAG_SETS, _TAG_BODY))
-def merge_tag_sets_all(spark, sf):
-    return _merge_tag_sets(spark, sf, _tens(views.active(spark, sf)))
-
-
-@query(with_more(_GATE.replace(_FEW, ""), _GATE_BODY))
-def cluster_gate_all(spark, sf):
-    return _cluster_gate(_tens(views.active(spark, sf)))
+    cl = _tens(views.active(spark, sf))
+    scores = cl.selectExpr("cluster", "id AS a").join(cl.selectExpr("cluster", "id AS b"), "cluster").where("a < b").selectExpr("a", "b", "(a * 3 + b) % 7 / 7D AS score")
+    return C.gate_clusters(cl, scores)
 
 
 @query()
@@ -332,17 +294,11 @@ def turn_corpus(spark, sf):
     return conversations.turn_documents(read(spark, sf, "conversations"))
 
 
-_CHAIN = "SELECT source_id, target_id, 'related' AS relation_type, 0.6::DOUBLE AS strength FROM (SELECT id AS source_id, lead(id) OVER (PARTITION BY project ORDER BY id) AS target_id FROM memories WHERE id % 30 < 5) WHERE target_id IS NOT NULL"
+_CHAIN = "SELECT source_id, target_id, 'related' AS relation_type, 0.6::DOUBLE AS strength FROM (SELECT id AS source_id, lead(id) OVER (PARTITION BY project ORDER BY id) AS target_id FROM memories) WHERE target_id IS NOT NULL"
 
 
 @query(sql(_CHAIN))
 def sibling_chain(spark, sf):
-    """Only the ids that its SQL asks for; sibling_chain_all has every one."""
-    return graph.chain(views.memories(spark, sf).where("id % 30 < 5").select("id", "project"), "project", "id")
-
-
-@query(sql(_CHAIN.replace(" WHERE id % 30 < 5", "")))
-def sibling_chain_all(spark, sf):
     return graph.chain(views.memories(spark, sf).select("id", "project"), "project", "id")
 
 
@@ -418,31 +374,21 @@ def unlinked_every_nth(spark, sf):
     return evaluation.every_nth(pairs, [F.desc("cosine"), F.col("a"), F.col("b")], 5)
 
 
-@query(sql("SELECT source_id AS a, target_id AS b, left(x.content, 50) AS content_a, left(y.content, 50) AS content_b FROM links JOIN memories x ON x.id = source_id JOIN memories y ON y.id = target_id WHERE relation_type = 'contradicts'"))
+@query(sql("SELECT source_id AS a, target_id AS b, x.content AS content_a, y.content AS content_b FROM links JOIN memories x ON x.id = source_id JOIN memories y ON y.id = target_id WHERE relation_type = 'contradicts'"))
 def linked_positives(spark, sf):
-    m = views.memories(spark, sf).select("id", F.substring("content", 1, 50).alias("c"))
+    m = views.memories(spark, sf).select("id", F.col("content").alias("c"))
     rows = views.links(spark, sf).where("relation_type = 'contradicts'").selectExpr("source_id AS a", "target_id AS b")
     return rows.join(m.toDF("a", "content_a"), "a").join(m.toDF("b", "content_b"), "b").select("a", "b", "content_a", "content_b")
 
 
-_COVER = "s AS (SELECT a, b, a % 5 AS i, b % 4 AS j, max(round(abs(cosine), 6)) AS score FROM pairs WHERE a < 40 AND b < 80 GROUP BY 1, 2, 3, 4), l AS (SELECT a, b, sum(score) / (a % 3 + 5) AS l FROM s GROUP BY 1, 2), r AS (SELECT a, b, sum(score) / (b % 3 + 4) AS r FROM s GROUP BY 1, 2)"
+_COVER = "s AS (SELECT a, b, a % 5 AS i, b % 4 AS j, max(round(abs(cosine), 6)) AS score FROM pairs GROUP BY 1, 2, 3, 4), l AS (SELECT a, b, sum(score) / (a % 3 + 5) AS l FROM s GROUP BY 1, 2), r AS (SELECT a, b, sum(score) / (b % 3 + 4) AS r FROM s GROUP BY 1, 2)"
 _COVERAGE = "SELECT a, b, round(least(l, r), 9) AS coverage FROM l JOIN r USING (a, b)"
 
 
-def _line_coverage(pairs):
-    s = pairs.selectExpr("a", "b", "a % 5 AS i", "b % 4 AS j", "abs(cosine) AS score")
-    return evaluation.line_coverage(s, F.col("a") % 3 + 5, F.col("b") % 3 + 4)
-
-
 @query(with_more(_COVER, _COVERAGE))
 def line_coverage_scores(spark, sf):
-    """Only the pairs that its SQL asks for; line_coverage_all has every pair."""
-    return _line_coverage(V.similar_pairs(views.vectors(spark, sf).where("id < 80"), -2.0).where("a < 40"))
-
-
-@query(with_more(_COVER.replace(" WHERE a < 40 AND b < 80", ""), _COVERAGE))
-def line_coverage_all(spark, sf):
-    return _line_coverage(V.similar_pairs(views.vectors(spark, sf), -2.0))
+    s = V.similar_pairs(views.vectors(spark, sf), -2.0).selectExpr("a", "b", "a % 5 AS i", "b % 4 AS j", "abs(cosine) AS score")
+    return evaluation.line_coverage(s, F.col("a") % 3 + 5, F.col("b") % 3 + 4)
 
 
 @query(with_more("s AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rn FROM pairs)", "SELECT a, b, cosine FROM s WHERE rn <= 2"))

@@ -78,11 +78,11 @@ def jaccard_prefilter(spark, sf):
     return both.select("id", F.round(T.jaccard(T.line_words(F.col("ca")), T.line_words(F.col("cb"))), 6).alias("jaccard"), T.prefilter(F.col("ca"), F.col("cb")).alias("passes"))
 
 
-_FACT = "(['D:', 'C:', 'F:', 'L:', 'P:', 'W:', 'R:', ''])[id % 8 + 1] || ' ' || substr(content, 1, 40)"
+_FACT = "(['D:', 'C:', 'F:', 'L:', 'P:', 'W:', 'R:', ''])[id % 8 + 1] || ' ' || content"
 
 
 def _fact():
-    return F.concat(F.element_at(F.array(*map(F.lit, ["D:", "C:", "F:", "L:", "P:", "W:", "R:", ""])), (F.col("id") % 8 + 1).cast("int")), F.lit(" "), F.substring(_content(), 1, 40))
+    return F.concat(F.element_at(F.array(*map(F.lit, ["D:", "C:", "F:", "L:", "P:", "W:", "R:", ""])), (F.col("id") % 8 + 1).cast("int")), F.lit(" "), _content())
 
 
 _SUBJ = r"'^\s*([DCFLPWR]):[ \t\r\f\x0B]*([^→∵⚠@△✓✗∅;>\s]+)'"
@@ -117,9 +117,9 @@ def tag_support(spark, sf):
     return rows.select("id", F.lower("tag").alias("tag"), T.tag_supported(F.col("tag"), _content()).alias("supported"))
 
 
-@query(with_more(r"s AS (SELECT id, substr(regexp_replace(regexp_replace(lower(left(content, 60)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS s FROM memories)", "SELECT id, CASE WHEN s = '' THEN 'misc' ELSE s END AS slug FROM s"))
+@query(with_more(r"s AS (SELECT id, substr(regexp_replace(regexp_replace(lower(content), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS s FROM memories)", "SELECT id, CASE WHEN s = '' THEN 'misc' ELSE s END AS slug FROM s"))
 def slugs(spark, sf):
-    return views.memories(spark, sf).select("id", T.slug(F.substring(_content(), 1, 60)).alias("slug"))
+    return views.memories(spark, sf).select("id", T.slug(_content()).alias("slug"))
 
 
 @query(with_more("a AS (SELECT id, content, strpos(content, 'license') AS p FROM memories)", "SELECT id, CASE WHEN p > 0 THEN CASE WHEN p - 1 - 60 > 0 THEN '… ' ELSE '' END || substr(content, greatest(0, p - 61) + 1, least(length(content), p - 1 + 7 + 60) - greatest(0, p - 61)) || CASE WHEN p - 1 + 7 + 60 < length(content) THEN ' …' ELSE '' END ELSE left(content, 120) || CASE WHEN length(content) > 120 THEN ' …' ELSE '' END END AS snippet FROM a"))
@@ -150,6 +150,17 @@ def explode_chain(spark, sf):
     return views.memories(spark, sf).select("id", T.explode_chain(F.concat(F.lit("F: one. D: two "), F.col("id").cast("string"), F.lit("; W: see D:/mnt;"))).alias("exploded"))
 
 
+_CHAIN = r"'F:' || regexp_replace(regexp_replace(content, '\s+', ' ', 'g'), '\. ', '. D: ', 'g') || '; W:end'"
+_PIECES = rf"cut AS (SELECT id, {_CHAIN} AS c FROM memories), pieces AS (SELECT id, c, list_filter(list_transform(string_split(regexp_replace(regexp_replace(c, '([;.])\s*([DCFLPWR]:)([^\\/])', '\1' || chr(10) || '\2\3', 'g'), '([;.])\s*([DCFLPWR]:)([^\\/])', '\1' || chr(10) || '\2\3', 'g'), chr(10)), lambda x: trim(regexp_replace(trim(x), ';+\s*$', ''))), lambda x: x <> '') AS p FROM cut)"
+
+
+@query(with_more(_PIECES, r"SELECT id, sha256(CASE WHEN len(p) >= 2 AND regexp_replace(array_to_string(p, chr(10)), '[\s;]+', '', 'g') = regexp_replace(c, '[\s;]+', '', 'g') THEN array_to_string(p, chr(10)) ELSE c END) AS hash FROM pieces"))
+def explode_chains(spark, sf):
+    """Every memory as a chain of statements, exploded."""
+    chain = F.concat(F.lit("F:"), F.regexp_replace(F.regexp_replace(_content(), r"\s+", " "), r"\. ", ". D: "), F.lit("; W:end"))
+    return views.memories(spark, sf).select("id", T.text_hash(T.explode_chain(chain)).alias("hash"))
+
+
 @query(sql("SELECT id, true AS same FROM memories"))
 def explode_forms_agree(spark, sf):
     """The expression and the Python form of the chain splitter, on every memory as a chain."""
@@ -157,26 +168,56 @@ def explode_forms_agree(spark, sf):
     return views.memories(spark, sf).select("id", (T.explode_chain(chain) == splitting.explode_udf(chain)).alias("same"))
 
 
-@query(sql("SELECT id, true AS lossless FROM memories"))
-def split_lossless(spark, sf):
-    """Every memory, split small, holds its lines in order."""
+def _packs(name: str, source: str, most: int) -> str:
+    """SQL of name(id, k, a, e): the stretches a..e of source(id, k, costs) that greedy packing makes, by cut points among the cumulative costs."""
+    return f"""{name}_c AS (SELECT id, k, list_transform(range(0, len(costs) + 1), lambda i: list_sum(costs[1:i])::BIGINT) AS t FROM {source}),
+{name}_t AS (SELECT id, k, list_transform(t, lambda x: coalesce(x, 0)) AS t FROM {name}_c),
+{name} AS (SELECT id, k, 1::BIGINT AS a, greatest(1, len(list_filter(t, lambda x: x <= {most})) - 1)::BIGINT AS e, t FROM {name}_t WHERE len(t) > 1
+ UNION ALL SELECT id, k, e + 1, greatest(e + 1, len(list_filter(t, lambda x: x <= t[e + 1] + {most})) - 1)::BIGINT, t FROM {name} WHERE e + 1 < len(t))"""
+
+
+_SMALL, _TARGET = 400, 300
+_BLOCKS = rf"""long AS (SELECT id, content FROM memories WHERE length(content) > {_SMALL}),
+bl AS (SELECT id, 0 AS k, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(content, '^(\s*\n)+', ''), '(\n\s*)+$', ''), '\n(?:\s*\n)+'), lambda x: trim(x) <> '') AS parts FROM long),
+bc AS (SELECT id, k, list_transform(parts, lambda x: length(x) + 3) AS costs FROM bl),
+{_packs("bp", "bc", _TARGET + 2)},
+ch AS (SELECT bp.id, a AS block, array_to_string(parts[a:e], chr(10) || chr(10)) AS body, length(parts[a]) + 2 > {_TARGET} AS over, string_split(parts[a], chr(10)) AS lines FROM bp JOIN bl USING (id)),
+lc AS (SELECT id, block AS k, list_transform(lines, lambda x: length(x) + 1) AS costs FROM ch WHERE over),
+{_packs("lp", "lc", _TARGET)},
+every AS (SELECT id, block, 0 AS pos, body FROM ch WHERE NOT over UNION ALL SELECT lp.id, lp.k, lp.a, array_to_string(lines[lp.a:lp.e], chr(10)) FROM lp JOIN ch ON ch.id = lp.id AND ch.block = lp.k
+ UNION ALL SELECT id, 0, 0, content FROM memories WHERE length(content) <= {_SMALL})"""
+
+
+@query(with_more(_BLOCKS, "SELECT id, (row_number() OVER (PARTITION BY id ORDER BY block, pos))::INT AS part, sha256(body) AS hash FROM every").replace("WITH ", "WITH RECURSIVE ", 1))
+def split_chunks(spark, sf):
+    """Every chunk of every memory, split small, by its hash."""
+
+    @F.pandas_udf("array<string>")
+    def cut(s: pd.Series) -> pd.Series:
+        return pd.Series([splitting.split_content(x, _SMALL, _TARGET) for x in s], dtype=object)
+
+    rows = views.memories(spark, sf).select("id", F.posexplode(cut(_content())).alias("at", "body"))
+    return rows.select("id", (F.col("at") + 1).alias("part"), T.text_hash(F.col("body")).alias("hash"))
 
-    @F.pandas_udf("boolean")
-    def kept(s: pd.Series) -> pd.Series:
-        return pd.Series([splitting.keeps_lines(x, splitting.split_content(x, 400, 300)) for x in s])
 
-    return views.memories(spark, sf).select("id", kept(_content()).alias("lossless"))
+_PARAGRAPHS = f"""pa AS (SELECT id, 0 AS k, string_split(content, chr(10) || chr(10)) AS parts FROM memories WHERE length(content) > {K.CHUNK_CHARS}),
+pc AS (SELECT id, k, list_transform(parts, lambda x: length(x) + 2) AS costs FROM pa),
+{_packs("pp", "pc", K.CHUNK_CHARS + 2)},
+pt AS (SELECT pp.id, a, array_to_string(parts[a:e], chr(10) || chr(10)) AS body FROM pp JOIN pa USING (id)),
+every AS (SELECT id, a, pos, substr(body, pos + 1, {K.CHUNK_CHARS}) AS body FROM (SELECT *, unnest(range(0, length(body), {K.CHUNK_CHARS})) AS pos FROM pt) UNION ALL SELECT id, 0, 0, content FROM memories WHERE length(content) <= {K.CHUNK_CHARS})"""
 
 
-@query(with_more("h AS (SELECT id, content, len(string_split(content, chr(10) || chr(10))) AS n FROM memories)", "SELECT id, length(content) > 2000 AS cut FROM h"))
+@query(with_more(_PARAGRAPHS, "SELECT id, (row_number() OVER (PARTITION BY id ORDER BY a, pos))::INT AS part, sha256(body) AS hash FROM every").replace("WITH ", "WITH RECURSIVE ", 1))
 def ingest_chunks(spark, sf):
-    return views.memories(spark, sf).select("id", (F.size(splitting.chunk_udf(_content())) > 1).alias("cut"))
+    """Every chunk that ingest would store of every text, by its hash."""
+    rows = views.memories(spark, sf).select("id", F.posexplode(splitting.chunk_udf(_content())).alias("at", "body"))
+    return rows.select("id", (F.col("at") + 1).alias("part"), T.text_hash(F.col("body")).alias("hash"))
 
 
-@query(with_more("n AS (SELECT id, len(string_split(content, chr(10)))::INT AS n FROM memories), m AS (SELECT id, n, greatest(2, n // 3) AS o FROM n)", "SELECT id, least(n, (n + o) // 2)::INT AS left_lines, (n - greatest(1, (n + o) // 2 - o + 1) + 1)::INT AS right_lines FROM m"))
+@query(with_more("n AS (SELECT id, string_split(content, chr(10)) AS x FROM memories), m AS (SELECT id, x, len(x) AS n, greatest(2, len(x) // 3) AS o FROM n)", "SELECT id, sha256(array_to_string(x[1:(n + o) // 2], chr(10))) AS first_half, sha256(array_to_string(x[greatest(1, (n + o) // 2 - o + 1):n], chr(10))) AS second_half FROM m"))
 def overlap_split(spark, sf):
     halves = evaluation.overlap_split(F.split(_content(), "\n"))
-    return views.memories(spark, sf).select("id", F.size(halves["a"]).alias("left_lines"), F.size(halves["b"]).alias("right_lines"))
+    return views.memories(spark, sf).select("id", *[T.text_hash(F.array_join(halves[x], "\n")).alias(name) for x, name in (("a", "first_half"), ("b", "second_half"))])
 
 
 @query(sql("SELECT id, array_to_string(list_sort(list_filter(string_split(tags, ','), lambda t: t = project OR t = subcategory)), ',') AS kept FROM memories"))

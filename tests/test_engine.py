@@ -60,6 +60,34 @@ def test_split():
     assert splitting.topic_sort("F:a\n\nF:b", lambda blocks: ["x"]) == ["F:a\n\nF:b"]
 
 
+def test_cuts_are_the_longest_that_fit():
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        costs, most = [r.randrange(1, 30) for _ in range(r.randrange(25))], r.randrange(1, 60)
+        stretches = splitting.cuts(costs, most)
+        assert [i for a, b in stretches for i in range(a, b)] == list(range(len(costs)))
+        for a, b in stretches:
+            assert b == a + 1 or sum(costs[a:b]) <= most
+            assert b == len(costs) or sum(costs[a : b + 1]) > most
+
+
+def test_chunks_of_small_targets():
+    assert splitting.split_content("aa\nbb\n \ncc\n\ndddddddd\neeeeee\nf", 1, 10) == ["aa\nbb", "cc", "dddddddd", "eeeeee\nf"]
+    assert splitting.split_content("a\n\nb\n\nc", 1, 8) == ["a\n\nb", "c"]
+    assert splitting.split_content("\n \n\n", 1, 8) == ["\n \n\n"]
+    assert splitting.split_content("One. Two. Three.", 1, 10, hard=True) == ["One. Two.", "Three."]
+    assert splitting.chunk_text("aa\n\nbb\n\n\n\nccccccc\n\n\n\nd", 6) == ["aa\n\nbb", "cccccc", "c", "d"]
+    assert splitting.chunk_text("ab\n\n", 0) == ["ab\n\n"] and splitting.chunk_text("\n\n\n\n", 3) == []
+
+
+def test_repair_tries_both_codecs():
+    assert splitting.repair_mojibake("caf\u00c3\u00a9") == "café" and splitting.repair_mojibake("\u00e2\u20ac\u201d x") == "\u2014 x"
+    assert splitting.repair_mojibake("\u00c3\u00a9 \u4e2d") == "\u00c3\u00a9 \u4e2d" and splitting.repair_mojibake(None) is None
+    assert splitting.repair_mojibake("lost \ufffd") == "lost \ufffd"
+
+
 def test_split_property():
     r = random.Random(2)
     for _ in range(200):
@@ -236,12 +264,12 @@ def test_every_id_is_merged_gated_chained_and_judged(spark, tmp_path):
     merged = {x.cluster: x.content for x in run("mechanical_merge")}
     assert merged.keys() == {c for c, m in tens.items() if len(m) > 1}
     assert all(f"own {i} of it" in merged[c].split("\n") for c, m in tens.items() if len(m) > 1 for i in m)
-    assert {x.cluster: x.source_ids for x in run("merge_inheritance_all")} == {c: ",".join(map(str, m)) for c, m in tens.items() if m}
-    assert {x.cluster for x in run("merge_tag_sets_all")} == {c for c, m in tens.items() if m}
+    assert {x.cluster: x.source_ids for x in run("merge_inheritance")} == {c: ",".join(map(str, m)) for c, m in tens.items() if m}
+    assert {x.cluster for x in run("merge_tag_sets")} == {c for c, m in tens.items() if m}
     pairs = [p for m in tens.values() for p in itertools.combinations(m, 2) if (p[0] * 3 + p[1]) % 7 / 7 >= 0.7]
-    assert {x.id for x in run("cluster_gate_all")} == {i for p in pairs for i in p}
-    assert {(x.source_id, x.target_id) for x in run("sibling_chain_all")} == {(i, i + 1) for i in range(40)}
-    assert {frozenset((x.older, x.newer)) for x in run("verdict_effects_all")} == {frozenset((i, i + 1)) for i in range(40)}
+    assert {x.id for x in run("cluster_gate")} == {i for p in pairs for i in p}
+    assert {(x.source_id, x.target_id) for x in run("sibling_chain")} == {(i, i + 1) for i in range(40)}
+    assert {frozenset((x.older, x.newer)) for x in run("verdict_effects")} == {frozenset((i, i + 1)) for i in range(40)}
 
 
 def test_splitters_are_compared_on_whole_texts(spark, tmp_path, monkeypatch):
@@ -283,7 +311,7 @@ def test_line_coverage_has_every_pair(spark, tmp_path):
     r = np.random.default_rng(2)
     x = r.normal(size=(130, 8)).astype(np.float32)
     spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(p.a, p.b): p.coverage for p in analytics.QUERIES["line_coverage_all"](spark, str(tmp_path)).collect()}
+    got = {(p.a, p.b): p.coverage for p in analytics.QUERIES["line_coverage_scores"](spark, str(tmp_path)).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     want = {(a, b): abs(u[a] @ u[b]) / max(a % 3 + 5, b % 3 + 4) for a, b in itertools.combinations(range(130), 2)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
