@@ -193,6 +193,29 @@ def best_sentence(content: Column, query: Column, chars: int) -> Column:
     return F.when(best["hits"] > 0, cut).otherwise(head)
 
 
+def marked_window(content: Column, query: Column, chars: int) -> Column:
+    """The stretch of words that holds most hits of the query's words, each marked ⟪so⟫; null without a hit.
+
+    A stretch has chars / 6 words, at least 8 and at most 64, and starts at a hit; of equals the first counts.
+    """
+    size = max(8, min(64, chars // 6))
+    wanted = F.array_distinct(query_terms(query, 1))
+    words = F.split(F.trim(content), r"\s+")
+    hit = F.transform(words, lambda w: F.arrays_overlap(tokens(w), wanted))
+    at = F.filter(F.transform(hit, lambda h, i: F.when(h, i)), lambda i: i.isNotNull())
+    scored = F.transform(at, lambda p: F.struct(F.size(F.filter(at, lambda q: (q >= p) & (q < p + size))).alias("n"), (-p).alias("at")))
+    start = F.greatest(F.lit(0), F.least(-F.array_max(scored)["at"], F.size(words) - size))
+    told = F.transform(words, lambda w, i: F.when(F.get(hit, i), F.concat(F.lit("⟪"), w, F.lit("⟫"))).otherwise(w))
+    cut = F.array_join(F.slice(told, start + 1, size), " ")
+    out = F.concat(F.when(start > 0, F.lit("… ")).otherwise(F.lit("")), cut, F.when(start + size < F.size(words), F.lit(" …")).otherwise(F.lit("")))
+    return F.when(F.size(at) > 0, out)
+
+
+def compact(row: Column) -> Column:
+    """A struct as JSON without its null fields."""
+    return F.to_json(row, {"ignoreNullFields": "true"})
+
+
 def window_around(text: Column, anchor: Column, chars: int = 120) -> Column:
     """About `chars` characters around the anchor's first occurrence, else the head."""
     half = max(chars // 2, 40)

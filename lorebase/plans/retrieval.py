@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models, scoring
 from ..operators import duplicates, fusion, graph, lexical
+from ..operators import search as S
 from ..operators import vectors as V
 from ..operators.common import top
 from . import views
@@ -106,6 +107,48 @@ def retrieval_log_rows(spark, sf):
     return fusion.log_of(fusion.rrf(list(_lists(spark, sf)), 5), AS_OF, "s1")
 
 
+def _asked_queries(spark, sf):
+    """The items as queries, each with the vector whose id is 25 times its own, if there is one."""
+    own = views.vectors(spark, sf).where("id % 25 = 0").selectExpr("id DIV 25 AS query_id", "embedding")
+    return views.queries(spark, sf).join(own, "query_id", "left")
+
+
+def _found(spark, sf, mode):
+    q = _asked_queries(spark, sf)
+    out = S.results(S.search(views.memories(spark, sf), views.vectors(spark, sf), q, 10, mode), q)
+    return out.select("query_id", F.col("count").cast("int").alias("count"), "search_mode", F.array_join(F.col("results.id").cast("array<string>"), ",").alias("ids"))
+
+
+_RESULT = "SELECT q.query_id, count(r.id)::INT AS count, CASE WHEN count(r.id) > 0 THEN '{0}' END AS search_mode, string_agg(r.id::VARCHAR, ',' ORDER BY r.rank) AS ids FROM queries q LEFT JOIN {1} r ON q.query_id = r.query_id GROUP BY 1"
+
+
+@query(with_more("r AS (SELECT query_id, id, rank FROM fts WHERE rank <= 10)", _RESULT.format("fts", "r")))
+def search_fts(spark, sf):
+    return _found(spark, sf, "fts")
+
+
+@query(with_more("r AS (SELECT query_id // 25 AS query_id, id, rank FROM knn WHERE rank <= 10)", _RESULT.format("vec", "r")))
+def search_vec(spark, sf):
+    return _found(spark, sf, "vec")
+
+
+@query(with_more(_LISTS.replace("rank <= 40", "rank <= 20") + ", r AS (SELECT query_id, id, rank FROM h WHERE rank <= 10)", _RESULT.format("hybrid", "r")))
+def search_hybrid(spark, sf):
+    """The mode is chosen by the number of active rows."""
+    return _found(spark, sf, None)
+
+
+_SEEN = ", r AS (SELECT query_id, id FROM h WHERE rank <= 10 AND query_id IN (SELECT query_id FROM queries)), s AS (SELECT query_id, unnest(string_split(source_ids, ','))::BIGINT AS id FROM r JOIN insights ON memory_id = id), v AS (SELECT query_id, id FROM r UNION SELECT query_id, s.id FROM s JOIN memories m ON m.id = s.id WHERE " + _VALID + "), old AS (SELECT query_id // 25 AS query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM dist JOIN memories USING (id) WHERE status = 'archived')"
+
+
+@query(with_more(_LISTS.replace("rank <= 40", "rank <= 20") + _SEEN, "SELECT query_id, id, round(distance, 4) AS vec_distance FROM old WHERE n <= 10 AND query_id IN (SELECT query_id FROM queries) AND NOT EXISTS (FROM v WHERE v.query_id = old.query_id AND v.id = old.id)"))
+def archived_nearby(spark, sf):
+    """Archived rows near to a query that its hits and their sources don't hold yet."""
+    m, e, q = views.memories(spark, sf), views.vectors(spark, sf), _asked_queries(spark, sf)
+    hits = S.with_sources(S.search(m, e, q, 10), views.insights(spark, sf), m, AS_OF)
+    return S.archived_nearby(hits, e, m, q, 10)
+
+
 @query(sql("SELECT id, other, relation, strength FROM edges JOIN active USING (id)"))
 def links_undirected(spark, sf):
     return graph.both_ways(views.links(spark, sf)).join(views.active(spark, sf).select("id"), "id", "left_semi")
