@@ -23,7 +23,7 @@ SLICE_BYTES = 2 << 20
 #: Texts that one step handles.
 SLICE_ROWS = 4000
 #: Rows from which on a key of a join may count as hot.
-HOT_ROWS = 2000
+HOT_ROWS = 500
 #: The white space of the contracts: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
