@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -32,3 +35,16 @@ def top(df: DataFrame, n: int, order: Sequence[Column], by: Sequence[str] = (),
 def ordered_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """df with a the smaller id of the pair."""
     return df.withColumns({a: F.least(a, b), b: F.greatest(a, b)})
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, computed once and with its plan cut: checkpointed in the folder that executors share; on one machine in one of our own where none is set."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="lorebase-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
+    return df.checkpoint()

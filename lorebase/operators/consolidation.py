@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -17,7 +14,7 @@ from .. import constants as K
 from ..functions import scoring, splitting
 from ..functions import text as T
 from . import graph, vectors
-from .common import small, top
+from .common import settled, small, top
 
 
 def active_with_vectors(memories: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -25,31 +22,24 @@ def active_with_vectors(memories: DataFrame, embeddings: DataFrame) -> DataFrame
     return memories.where("status = 'active'").join(embeddings.select("id", "embedding"), "id").withColumn("mergeable", ~scoring.merge_protected())
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    """df, computed once and with its plan cut: checkpointed in the folder that executors share; in one of our own where none is set, as in tests."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        own = tempfile.mkdtemp(prefix="lorebase-")
-        atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(own)
-    return df.checkpoint()
+def connected(edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id each end of edges(a, b) reaches, by grouped minima over checkpointed tables until nothing changes.
 
-
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id each end of edges(a, b) reaches, by repeated grouped minima over checkpointed tables."""
-    pairs = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    pairs = _keep(pairs)
-    label = _keep(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).toDF("id", "component"))
-    for _ in range(rounds):
+    A round takes the least label among neighbours and then jumps to that label's own label, so long paths fold up.
+    """
+    pairs = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = settled(pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).toDF("id", "component"))
+    total = lambda df: df.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+    seen = total(label)
+    while True:  # labels only fall, so their sum tells whether one did
         near = pairs.join(label, pairs.b == label.id).groupBy("a").agg(F.min("component").alias("n"))
         step = label.join(near, label.id == near.a).select("id", F.least("component", "n").alias("component"))
-        # a label is a node too: it jumps to its own label
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("root"))
-        step = _keep(step.join(jump, "component").select("id", F.least("component", "root").alias("component")))
-        if step.join(label.withColumnRenamed("component", "old"), "id").where("component <> old").isEmpty():
-            return step
-        label = step
-    return label
+        label = settled(step.join(jump, "component").select("id", F.least("component", "root").alias("component")))
+        now = total(label)
+        if now == seen:
+            return label
+        seen = now
 
 
 def cluster(pairs: DataFrame, rows: DataFrame, most: int = K.CLUSTER_SIZE) -> DataFrame:
@@ -58,7 +48,7 @@ def cluster(pairs: DataFrame, rows: DataFrame, most: int = K.CLUSTER_SIZE) -> Da
     A clique never leaves its connected component, so components are clustered apart; with mutual
     k-nearest candidacy a component has at most k / 2 edges a row. Clusters all of whose rows(id, tags) are machine-made are dropped.
     """
-    pairs = _keep(pairs)
+    pairs = settled(pairs)
     label = connected(pairs)
     own = pairs.join(label, pairs.a == label.id).select("component", "a", "b", "cosine")
     made = rows.select("id", (T.is_machine_made(F.col("tags")) | F.contains(F.coalesce("tags", F.lit("")), F.lit("consolidated"))).alias("made"))

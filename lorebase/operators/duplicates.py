@@ -23,10 +23,17 @@ def overlap_candidates(memories: DataFrame, new: DataFrame, limit: int = 5, thre
 
 
 def subject_candidates(memories: DataFrame, new: DataFrame, limit: int = 5) -> DataFrame:
-    """(query_id, id): active rows of the same project with the same typed subject as new(query_id, query, project)."""
-    key = lambda c: F.lower(F.concat(T.subject_prefix(c), F.lit(":"), T.subject(c)))
-    left = new.select("query_id", "project", key(F.col("query")).alias("key")).where("key is not null")
-    right = memories.where("status = 'active'").select("id", "project", key(F.col("content")).alias("key")).where("key is not null")
+    """(query_id, id): active rows of the same project that start with the prefix and subject of new(query_id, query, project), in any case.
+
+    Rows are joined on their heads of just the lengths that the new subjects have.
+    """
+    key = F.lower(F.concat(T.subject_prefix(F.col("query")), F.lit(":"), T.subject(F.col("query"))))
+    left = new.select("query_id", "project", key.alias("key")).where("key is not null")
+    sizes = [r["n"] for r in left.select(F.length("key").alias("n")).distinct().collect()]  # lengths of words
+    if not sizes:
+        return left.select("query_id", F.lit(None).cast("long").alias("id")).where("false")
+    heads = F.array_distinct(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.lower(F.substring(F.col("content"), F.lit(1), n))))
+    right = memories.where("status = 'active'").where(F.col("content").rlike(f"(?i)^{T.PREFIX}:")).select("id", "project", F.explode(heads).alias("key"))
     return top(left.join(right, ["project", "key"]), limit, [F.col("id")], ["query_id"]).select("query_id", "id")
 
 
@@ -84,6 +91,20 @@ def line_pairs(pairs: DataFrame, lines: DataFrame, most: int = 8) -> DataFrame:
     return top(rows, most, [F.desc("cosine"), F.col("l_i"), F.col("r_i")], ["a", "b"]).select("a", "b", F.col("l_i").alias("i"), F.col("r_i").alias("j"), "cosine")
 
 
+def line_max(pairs: DataFrame, lines: DataFrame, score: Column, most: int = 8) -> DataFrame:
+    """(a, b, best, line_a, line_b): the highest score, an expression of premise and hypothesis, among each pair's `most` nearest line pairs.
+
+    lines(id, i, line, embedding). Both directions count, as a model's may differ; ties go to the first lines.
+    """
+    near = line_pairs(pairs, lines.select("id", "i", "embedding"), most)
+    text = lines.select("id", "i", "line")
+    rows = near.join(text.toDF("a", "i", "line_a"), ["a", "i"]).join(text.toDF("b", "j", "line_b"), ["b", "j"])
+    one = rows.select("a", "b", "i", "j", "line_a", "line_b", F.col("line_a").alias("premise"), F.col("line_b").alias("hypothesis"))
+    other = rows.select("a", "b", "i", "j", "line_a", "line_b", F.col("line_b").alias("premise"), F.col("line_a").alias("hypothesis"))
+    scored = one.unionByName(other).withColumn("best", F.round(score, 6))
+    return top(scored, 1, [F.desc("best"), F.col("i"), F.col("j")], ["a", "b"]).select("a", "b", "best", "line_a", "line_b")
+
+
 def percentile_floor(pairs: DataFrame) -> float:
     """The cosine from which same-project pairs are worth judging: a high percentile, backed off to have enough pairs."""
     row = pairs.agg(F.percentile("cosine", F.lit(K.BAND_PERCENTILE)).alias("p"), F.count("*").alias("n")).first()

@@ -112,6 +112,59 @@ def digest(memories: DataFrame, as_of: str, days: int = 7, limit: int = 100) ->
     return rows.orderBy(F.desc("created_at"), "id").limit(limit).select("id", "project", "created_at")
 
 
+def repair_tags(memories: DataFrame) -> DataFrame:
+    """(id, before, after, saved, lost): rows with tags that neither their content supports nor bookkeeping needs; saved in characters, lost the tags."""
+    tags = T.tag_list(F.col("tags"))
+    keep = F.filter(tags, lambda t: T.is_bookkeeping(t) | (F.lower(t) == "evergreen") | T.tag_supported(t, F.col("content")))
+    rows = memories.select("id", F.col("tags").alias("before"), F.array_join(F.array_distinct(keep), ",").alias("after"), F.array_except(tags, keep).alias("lost"))
+    return rows.where("before <> after").select("id", "before", "after", (F.length("before") - F.length("after")).alias("saved"), "lost")
+
+
+def repair_report(memories: DataFrame, changes: DataFrame, first: int = 10) -> dict[str, DataFrame]:
+    """Tables about repair_tags: totals (scanned, changed, saved), the `first` largest, and losses by tag."""
+    scanned = memories.agg(F.count("*").alias("scanned"))
+    totals = scanned.crossJoin(changes.agg(F.count("*").alias("changed"), F.coalesce(F.sum("saved"), F.lit(0)).alias("saved")))  # one row each
+    largest = changes.orderBy(F.desc("saved"), "id").limit(first).select("id", "saved")
+    losses = changes.select(F.explode("lost").alias("tag")).groupBy("tag").agg(F.count("*").alias("rows"))
+    return {"totals": totals, "largest": largest, "losses": losses}
+
+
+def integrity(tables: dict[str, DataFrame], width: int | None = None) -> DataFrame:
+    """check, found, ok of a store's tables: repeated or missing ids, columns that an older version lacks, vectors of another width or tier, links and lineage to nothing, an empty store."""
+    from functools import reduce
+
+    from ..sources import schemas
+    from . import graph
+
+    m, e, links, insights = tables["memories"], tables["embeddings"], tables["links"], tables["insights"]
+    count = lambda name, df: df.agg(F.lit(name).alias("check"), F.count("*").alias("found"))
+    twice = lambda df: df.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null")
+    tiers = e.join(m.select("id", "status"), "id").where("(tier = 'archived') <> (status = 'archived')")
+    checks = [
+        count("memory_ids", twice(m)),
+        count("vector_ids", twice(e)),
+        count("tiers", tiers),
+        count("widths", e.where(F.size("embedding") != width) if width else e.where("false")),
+        count("loose_links", graph.stale(links, m)),
+        count("loose_lineage", insights.join(m.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")),
+        m.agg(F.lit("empty").alias("check"), (F.count("*") == 0).cast("long").alias("found")),
+    ]
+    spark = m.sparkSession
+    lack = [(name, col) for name, df in tables.items() for col in schemas.missing_columns(df, name)]
+    checks.append(spark.createDataFrame([("missing_columns", len(lack))], "check string, found long"))
+    return reduce(DataFrame.unionByName, checks).withColumn("ok", F.col("found") == 0)
+
+
+def language_warning(memories: DataFrame, model: str, young: int = 200, share: float = 0.2) -> str | None:
+    """A warning if a model that knows English only serves a young store with this share of rows that aren't."""
+    from ..functions import models
+
+    rows = memories.limit(young + 1).agg(F.count("*").alias("n"), F.sum((~T.is_english(F.col("content"))).cast("int")).alias("other")).first()
+    if not models.english_only(model) or not 0 < rows["n"] <= young or rows["other"] < share * rows["n"]:
+        return None
+    return f"{rows['other']} of {rows['n']} memories aren't English, which {model} doesn't know"
+
+
 def doctor(memories: DataFrame, meta: DataFrame, links: DataFrame) -> DataFrame:
     """check, found, ok: one row a check of a store."""
     from functools import reduce

@@ -64,3 +64,19 @@ def chunks(texts: DataFrame, root: str = "", size: int = K.CHUNK_CHARS) -> DataF
 
 def stats_by_extension(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.groupBy("ext").agg(F.countDistinct("path").alias("files"), F.count("*").alias("chunks"))
+
+
+def ingest(store, path: str, as_of: str, project: str = "files", pattern: str = "*", recursive: bool = True, size: int = K.CHUNK_CHARS, dry_run: bool = False) -> dict:
+    """Stores the chunks of a folder's files as memories of a project: how many files, lossy ones, chunks, stored, skipped (duplicates), rejected, and files by extension.
+
+    Files of unknown kind or over the size limit aren't read. A dry run only counts.
+    """
+    texts = read_texts(walk(store.spark, path, pattern, recursive))
+    rows = chunks(texts, path, size).select("path", "ext", "content", "tags", F.lit(project).alias("project"), F.lit("semantic").alias("layer")).persist()
+    told = {"files": rows.select("path").distinct().count(), "lossy": rows.where(F.contains("content", F.lit("\ufffd"))).select("path").distinct().count(), "chunks": rows.count(), "stored": 0, "skipped": 0, "rejected": 0, "dry_run": dry_run}
+    told["by_extension"] = {r["ext"]: r["files"] for r in stats_by_extension(rows).collect()}  # one row a known extension
+    if told["chunks"] and not dry_run:
+        by = {r["status"]: r["n"] for r in store.add(rows.drop("path", "ext"), as_of).groupBy("status").agg(F.count("*").alias("n")).collect()}
+        told |= {"stored": by.get("stored", 0) + by.get("stored-split", 0), "skipped": by.get("duplicate", 0), "rejected": by.get("rejected", 0)}
+    rows.unpersist()
+    return told

@@ -17,8 +17,7 @@ def ingest(stream: DataFrame, store: Store, as_of: str, checkpoint: str) -> Stre
         if int(store.setting(key) or -1) >= number:
             return
         if not batch.isEmpty():
-            store.add(batch, as_of)
-        store.put_setting(key, str(number), as_of)
+            store.add(batch, as_of, setting=(key, str(number)))  # one commit: a crash leaves both or neither
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
