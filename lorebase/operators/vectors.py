@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import top
+from .common import small, top
 
 QUERY_BLOCK = 4096
 PAIR_BLOCK = 2048
@@ -88,12 +88,17 @@ def similar_pairs(vectors: DataFrame, floor: float, group: Column | None = None,
     """(a, b, cosine) of vectors(id, embedding) with cosine >= floor: a < b, or both ways with top_k.
 
     group: only pairs with an equal value, or with `apart` a different one. top_k keeps each row's nearest k. Blocks of
-    about PAIR_BLOCK rows meet pairwise; a task holds two of them. Cosines are rounded to six digits.
+    about PAIR_BLOCK rows (of one group, unless apart) meet pairwise; a task holds two of them. Cosines are rounded to six digits.
     """
-    v = vectors.select("id", "embedding", (F.lit("") if group is None else group.cast("string")).alias("grp"))
+    v = vectors.select("id", "embedding", (F.lit("") if group is None else F.coalesce(group.cast("string"), F.lit("\0"))).alias("grp"))
     grouped = group is not None
-    blocks = max(1, -(-v.count() // PAIR_BLOCK))
-    v = v.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    keys = ["i", "j"]
+    if grouped and not apart:  # blocks of one group meet among themselves alone
+        sizes = v.groupBy("grp").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+        v, keys = v.join(small(sizes), "grp"), ["grp", "i", "j"]
+    else:
+        v = v.withColumn("blocks", F.lit(max(1, -(-v.count() // PAIR_BLOCK))))
+    v = v.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     v = v.select("id", "embedding", "grp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def meet(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
@@ -101,28 +106,29 @@ def similar_pairs(vectors: DataFrame, floor: float, group: Column | None = None,
         n = np.linalg.norm(x, axis=1, keepdims=True)
         x /= np.where(n > 0, n, 1)
         own, ids, grp = t["own"].to_numpy(), t["id"].to_numpy(), t["grp"].to_numpy()
-        left = np.flatnonzero(own == key[0])
-        right = np.flatnonzero(own == key[1])
+        one, two = key[-2:]
+        left = np.flatnonzero(own == one)
+        right = np.flatnonzero(own == two)
         c = np.round(x[left] @ x[right].T, 6)
         ok = c >= floor
         if grouped:
             ok &= (grp[left][:, None] != grp[right][None]) if apart else (grp[left][:, None] == grp[right][None])
         ok &= ids[left][:, None] != ids[right][None]
-        if key[0] == key[1] and top_k is None:
+        if one == two and top_k is None:
             ok &= ids[left][:, None] < ids[right][None]
         if top_k is None:
             i, j = np.nonzero(ok)
             a, b, s = ids[left[i]], ids[right[j]], c[i, j]
             return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": s})
         parts = []
-        for rows, cols, m, fine in ((left, right, c, ok), (right, left, c.T, ok.T))[: 1 if key[0] == key[1] else 2]:
+        for rows, cols, m, fine in ((left, right, c, ok), (right, left, c.T, ok.T))[: 1 if one == two else 2]:
             for r in range(len(rows)):
                 at = np.flatnonzero(fine[r])
                 at = at[np.lexsort((ids[cols[at]], -m[r, at]))][:top_k]
                 parts.append(pd.DataFrame({"a": ids[rows[r]], "b": ids[cols[at]], "cosine": m[r, at]}))
         return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "cosine": []})
 
-    pairs = v.groupBy("i", "j").applyInPandas(meet, "a long, b long, cosine double")
+    pairs = v.groupBy(*keys).applyInPandas(meet, "a long, b long, cosine double")
     return pairs if top_k is None else top(pairs, top_k, [F.desc("cosine"), F.col("b")], ["a"])
 
 

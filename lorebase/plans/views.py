@@ -71,10 +71,22 @@ def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, id): documents that hold a benchmark item word for word. Items are a bounded table that is sent to the scan."""
+    """(query_id, id): documents that hold a benchmark item word for word.
+
+    A document that does has every inner word of the item, so the longest of these joins the two; items
+    without an inner word are a bounded table that is sent to the scan.
+    """
+    from ..functions import text as T
     from ..operators.common import small
 
-    return memories(spark, sf).join(small(queries(spark, sf)), F.contains("content", F.col("query"))).select("query_id", "id")
+    own = T.tokens(F.col("query"))
+    items = queries(spark, sf).withColumn("inner", F.slice(own, F.lit(2), F.greatest(F.size(own) - 2, F.lit(0))))
+    longest = F.array_max(F.transform("inner", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    m = memories(spark, sf).select("id", "content")
+    words = m.select("id", "content", F.explode(F.array_distinct(T.tokens(F.col("content")))).alias("anchor"))
+    held = words.join(small(items.where(F.size("inner") > 0).select("query_id", "query", longest.alias("anchor"))), "anchor").where(F.contains("content", F.col("query")))
+    short = m.join(small(items.where(F.size("inner") == 0).select("query_id", "query")), F.contains("content", F.col("query")))
+    return held.select("query_id", "id").unionByName(short.select("query_id", "id"))
 
 
 #: The stop words as an SQL list.

@@ -52,7 +52,7 @@ def test_search(spark, tmp_path):
     assert len(ranked) == 3 and all(r.reranked for r in ranked)
     cut = {(r.query_id, r.id): r for r in search.with_content(hits, m, q, 20).collect()}
     assert cut[1, 1].content == "⟪F:redis⟫ runs on ⟪port⟫ 6379" and cut[1, 1].snippet and not search.with_content(hits, m, q).where("snippet").count()
-    linked = search.with_links(hits.where("query_id = 3"), spark.createDataFrame([(4, 2, "related", 0.7)], "source_id long, target_id long, relation_type string, strength double"), m)
+    linked = search.with_links(hits.where("query_id = 3 and rank = 1"), spark.createDataFrame([(4, 2, "related", 0.7)], "source_id long, target_id long, relation_type string, strength double"), m)
     assert {r.id: [x.id for x in r.linked or []] for r in linked.collect()}[4] == [2]
     store.log_retrieval(hits, NOW, "s")
     assert store.table("retrieval_log").count() == hits.count()
