@@ -328,29 +328,55 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def contracted(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) from the nodes of each run of about `most` edges (a, b) to the smallest that the run lets them reach."""
+
+    def star(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids, at = np.unique(np.concatenate([b.column(c).to_numpy() for c in (0, 1) for b in held]), return_inverse=True)
+        label, (a, b) = np.arange(len(ids)), at.reshape(2, -1)
+        while True:
+            low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+            apart = low < high
+            if not apart.any():
+                break
+            np.minimum.at(label, high[apart], low[apart])
+            while (label[label] != label).any():
+                label = label[label]
+        moved = label < np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= most:
+            yield star(held)
+            held = []
+    if held:
+        yield star(held)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that each node of edges(a, b) reaches; only nodes with an edge.
+    """(node, label): the smallest node that each node of edges(a, b) reaches; only nodes with an edge. A written table.
 
-    Alternates large-star and small-star (Kiveris et al., 2014) over written tables until no edge
-    changes. Every step is a grouped minimum, no group's members are gathered, and the centre of a large star is no hot key of a join.
+    Each task contracts the edges it reads; then small-star and large-star (Kiveris et al., 2014) alternate over written
+    tables until the edges are stars, which the minima of the next step tell: no node has a smaller neighbour and another one.
+    Every step is a grouped minimum, no group's members are gathered, and the centre of a large star is no hot key of a join.
     """
-    spark = edges.sparkSession
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e, seen = materialize(e, "edges"), None
+    both = lambda e: e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    e = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long"))
+    e = materialize(e.mapInArrow(contracted, "u long, v long").distinct(), "edges")
     while True:
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
-        large = with_facts(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.where("u <> v"), "large")
+        least = materialize(both(e).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("k"), F.count_if(F.col("v") < F.col("u")).alias("c")), "least")
+        if least.where("m < u AND k > 1").isEmpty():
+            drop_table(least)
+            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+        small = with_facts(e, least.where("c > 0").select("u", "m", "c"), "u")
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        small = materialize(small, "small")
         drop_table(e)
         drop_table(least)
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
-        small = with_facts(large, least, "u")
-        e = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        e = materialize(e, "edges")
-        drop_table(large)
+        least = materialize(both(small).groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), "least")
+        large = with_facts(both(small).where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = materialize(large.where("u <> v"), "edges")
+        drop_table(small)
         drop_table(least)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        seen = now

@@ -44,6 +44,8 @@ BASE_B, OFFSET = 1.1, 40
 BLOCK, SALT_ROWS, BROADCAST_IDS = 1024, 512, 250_000
 #: Partners of a node that are verified as pairs; shingles that a block of sets may hold (8 bytes each).
 FEW, BLOCK_SHINGLES = 4, 1 << 20
+#: Pairs of sketches that a task compares at a time.
+PAIRS = 1 << 15
 #: Log-likelihood by which the best similarity may beat all that reach the threshold (about 4 sigma).
 SLACK = 8.0
 _ODD = np.random.Generator(np.random.PCG64(77)).integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) | np.uint64(1)
@@ -149,12 +151,12 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, words: int) -> D
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold: a's set meets its b's in a stream.
+    """Those of the distinct pairs (a, b) whose full sets reach the threshold: a's set meets its b's in a stream.
 
     Pairs of one a are dealt to salted groups of about SALT_ROWS, each with a's set first.
     """
     spark = docs.sparkSession
-    pairs = materialize(pairs.distinct(), "pairs")
+    pairs = materialize(pairs, "pairs")
     sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), words)
     each = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(each, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -217,19 +219,34 @@ class _Members:
     def __init__(self, key: tuple, t: pa.Table, threshold: int):
         self.node, self.n, self.label = (t[c].to_numpy() for c in ("node", "n", "label"))
         self.regs, self.k, self.threshold = _matrix(t["regs"]), int(t["k"][0].as_py()), threshold
-        self.bands = self.regs.reshape(len(self.regs), BANDS, ROWS)
+        self.bands = self.regs.view(np.uint32)  # a band's ROWS registers are one number
         own, self.same = t["own"].to_numpy(), key[1] == key[2]
         self.left = np.arange(len(own)) if self.same else np.flatnonzero(own == key[1])
         self.right = self.left if self.same else np.flatnonzero(own == key[2])
 
-    def partners(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of others in a component of their own that sizes and sketches let pass; pairs of an earlier band are left to that one."""
-        at = others[(self.label[others] != self.label[i]) & (np.minimum(self.n[others], self.n[i]) * 100 >= self.threshold * np.maximum(self.n[others], self.n[i]))]
-        if len(at) and self.k:
-            at = at[~(self.bands[at, : self.k] == self.bands[i, : self.k]).all(2).any(1)]
-        if len(at):
-            at = at[likely(self.regs[i][None], self.regs[at], np.full(len(at), self.n[i]), self.n[at], self.threshold / 100)]
-        return at[np.argsort(-(self.regs[at] == self.regs[i]).sum(1), kind="stable")]
+    def partners(self, rows: np.ndarray, others: np.ndarray, later: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """Each of rows that has any, with those of others in a component of their own that sizes and sketches let pass, likeliest first.
+
+        Pairs of an earlier band are left to that one; with later, a row's partners come after it.
+        """
+        n, label, regs = self.n, self.label, self.regs
+        step = max(1, PAIRS // max(1, len(others)))
+        for lo in range(0, len(rows), step):
+            some = rows[lo : lo + step, None]
+            ok = (label[some] != label[others]) & (np.minimum(n[some], n[others]) * 100 >= self.threshold * np.maximum(n[some], n[others]))
+            at, to = np.nonzero(ok & (others > some) if later else ok)
+            a, b = some[at, 0], others[to]
+            if len(a) and self.k:
+                fresh = ~(self.bands[a, : self.k] == self.bands[b, : self.k]).any(1)
+                a, b = a[fresh], b[fresh]
+            if len(a):
+                ok = likely(regs[a], regs[b], n[a], n[b], self.threshold / 100)
+                a, b = a[ok], b[ok]
+            if len(a):
+                order = np.lexsort((-(regs[a] == regs[b]).sum(1), a))
+                a, b = a[order], b[order]
+                cuts = np.flatnonzero(a[1:] != a[:-1]) + 1
+                yield from zip(a[[0, *cuts]].tolist(), np.split(b, cuts), strict=True)
 
 
 def _across(groups: DataFrame, threshold: int) -> DataFrame:
@@ -241,8 +258,7 @@ def _across(groups: DataFrame, threshold: int) -> DataFrame:
     def work(key: tuple, t: pa.Table) -> pa.RecordBatch:
         m = _Members(key, t, threshold)
         rows: list[tuple] = []
-        for i in m.left:
-            at = m.partners(i, m.right[m.right > i] if m.same else m.right)
+        for i, at in m.partners(m.left, m.right, m.same):
             rows += [(key[0], min(m.node[i], m.node[j]), max(m.node[i], m.node[j])) for j in at[:FEW]]
             if len(at) > FEW:
                 rows.append((key[0], m.node[i], None))
@@ -263,9 +279,9 @@ def _across_marked(groups: DataFrame, threshold: int) -> DataFrame:
         m = _Members(key, t, threshold)
         marked, sets = t["marked"].to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for c in t["h"].chunks for x in c]
         found: list[tuple] = []
-        for i, others in ((i, o) for own, o in ((m.left, m.right), (m.right, m.left))[: 1 if m.same else 2] for i in own[marked[own]]):
-            at, own = m.partners(i, others), sets[i]
-            step = 8
+        sides = ((m.left, m.right), (m.right, m.left))[: 1 if m.same else 2]
+        for i, at in (found for own, others in sides for found in m.partners(own[marked[own]], others, False)):
+            own, step = sets[i], 8
             while len(at):
                 some, at, step = at[:step], at[step:], min(256, 2 * step)
                 bounds = np.cumsum([0, *(len(sets[j]) for j in some)])
@@ -292,14 +308,17 @@ def _nodes(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
     real = sketches.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     sets = real.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("f"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
     sets = materialize(sets.select("digest", F.col("f.doc_id").alias("first"), F.col("f.text_hash").alias("text_hash"), "n", "regs"), "digests")
+    digest = F.xxhash64("digest")
+    ties = materialize(real.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id"), "several")
+    if ties.isEmpty():
+        return sets.withColumn("node", F.col("first")), ties.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
     again = sets.groupBy("first").agg(F.min("text_hash").alias("plain"), F.count("*").alias("k")).where("k > 1").select("first", "plain")
     own = F.col("plain").isNull() | (F.col("plain") == F.col("text_hash"))
     nodes = sets.join(again, "first", "left").withColumn("node", F.when(own, F.col("first")).otherwise(F.xxhash64("first", "text_hash", F.lit("set")))).drop("plain")
     nodes = materialize(nodes, "nodes")
     drop_table(sets)
-    held = real.select("doc_id", "digest").distinct()
-    ties = held.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
-    tied = held.join(ties, "doc_id", "left_semi").join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    held = real.select("doc_id", "digest").join(ties, "doc_id", "left_semi").distinct()
+    tied = held.join(nodes.select("digest", "node"), "digest").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     return nodes, materialize(tied, "ties")
 
 
@@ -321,8 +340,8 @@ def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple
     stars = with_facts(bands.drop("c"), materialize(hubs, "hubs"), "band").where((F.col("node") != F.col("hub.node")) & _fits(F.col("n"), F.col("hub.n"), threshold))
     stars = materialize(stars.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     edges = _verify(_plausible(stars, nodes, threshold), docs, nodes, words, threshold)
-    edges = edges.unionByName(tied)
-    labels = components(edges)
+    labels = components(edges.unionByName(tied))
+    joined = lambda more: components(labels.toDF("a", "b").unionByName(more))  # noqa: E731  (the labels stand for all edges so far)
 
     def still_open(labels: DataFrame, bands: DataFrame) -> DataFrame:
         """The bands whose members lie in several components, with labels."""
@@ -333,8 +352,7 @@ def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple
     found = materialize(_across(still_open(labels, bands), threshold), "across")
     rest = found.where("b is not null").select("a", "b").distinct()
     rest = rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    edges = edges.unionByName(_verify(rest, docs, nodes, words, threshold))
-    labels = materialize(components(edges), "labels")
+    labels = joined(_verify(rest, docs, nodes, words, threshold))
     marks = found.where("b is null").select("band", F.col("a").alias("node"), F.lit(True).alias("marked")).distinct()
     groups = still_open(labels, bands.join(marks.select("band").distinct(), "band", "left_semi"))
     groups = materialize(groups.join(marks, ["band", "node"], "left").withColumn("marked", F.coalesce("marked", F.lit(False))), "marked")
@@ -342,7 +360,7 @@ def classes_and_components(docs: DataFrame, words: int, threshold: int) -> tuple
         sets = _sets(docs, nodes, groups.select("node").distinct(), words)
         links = materialize(_across_marked(groups.join(sets, "node"), threshold), "links")
         if not links.isEmpty():
-            labels = components(edges.unionByName(links))
+            labels = joined(links)
     if not nodes.where("node <> first").isEmpty():  # names by hash say nothing of the smallest document
         full = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         least = full.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("c"))

@@ -426,6 +426,60 @@ def test_components(spark, monkeypatch):
     assert all(got.get(x, x) == m for x, m in label.items())
 
 
+def test_components_of_hubs_in_few_tables(spark, monkeypatch):
+    """What hubs link is settled in few steps: each written table costs a task a partition."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    real, written = common.materialize, []
+    monkeypatch.setattr(common, "materialize", lambda df, name, *more: (written.append(name), real(df, name, *more))[1])
+    edges = [(hub, 1000 + 20 * g + i) for g in range(8) for hub in (900 + g, 1000 + 20 * g) for i in range(1, 20)]
+    got = {x.node: x.label for x in common.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {x: 900 + g for g in range(8) for x in range(1000 + 20 * g, 1020 + 20 * g)}
+    assert len(written) <= 6
+    written.clear()
+    assert common.components(spark.createDataFrame([], "a long, b long")).isEmpty() and len(written) <= 2
+
+
+def test_contracted():
+    r = random.Random(6)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 - i, 999 - i) for i in range(80)]
+    edges = [e for e in edges if e[0] != e[1]]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    batch = lambda e: pa.RecordBatch.from_arrays([pa.array([x[k] for x in e], pa.int64()) for k in (0, 1)], ["a", "b"])
+    (whole,) = common.contracted([batch(edges[:100]), batch(edges[100:])])
+    assert dict(zip(whole["u"].to_pylist(), whole["v"].to_pylist(), strict=True)) == {x: m for x, m in label.items() if x != m}
+    assert len(list(common.contracted([batch(edges[:100]), batch(edges[100:])], most=50))) == 2
+
+
+@pytest.mark.parametrize("k", [0, 3])
+def test_partners_in_few_calls(monkeypatch, k):
+    """Sketches of a block are compared many at a time, with the partners that one pair after the other gives."""
+    rng, n = np.random.default_rng(5), 200
+    h = [np.unique(np.concatenate([rng.permutation(400)[:360], rng.integers(1000, 1 << 40, 40)])).astype(np.uint64) for _ in range(n)]
+    h = [common.mix(x + np.uint64(1 + 7 * (i % 2))) for i, x in enumerate(h)]
+    regs = near_dup.registers(np.concatenate(h), np.concatenate([[0], np.cumsum([len(x) for x in h])]))
+    own, label = rng.integers(0, 2, n), rng.integers(0, 60, n)
+    t = pa.table({"own": own, "k": np.full(n, k), "node": np.arange(n), "n": [len(x) for x in h], "label": label, "regs": pa.array([x.tobytes() for x in regs], pa.binary())})
+    real, calls = near_dup.likely, []
+    monkeypatch.setattr(near_dup, "likely", lambda *a: (calls.append(1), real(*a))[1])
+    bands = regs.reshape(n, near_dup.BANDS, near_dup.ROWS)
+    for key in ((1, 0, 0), (1, 0, 1)):
+        m = near_dup._Members(key, t, 80)
+        for later in (m.same, False):
+            got = {i: at.tolist() for i, at in m.partners(m.left, m.right, later)}
+            assert len(calls) <= 2
+            calls.clear()
+            want = {}
+            for i in m.left:
+                at = [j for j in m.right if label[i] != label[j] and (j > i or not later) and 100 * min(len(h[i]), len(h[j])) >= 80 * max(len(h[i]), len(h[j]))]
+                at = [j for j in at if not (bands[i, :k] == bands[j, :k]).all(1).any() and real(regs[i], regs[j], len(h[i]), len(h[j]), 0.8)]
+                if at:
+                    want[i] = sorted(at, key=lambda j: (-(regs[i] == regs[j]).sum(), j))
+            assert got == want and sum(map(len, want.values())) > 100
+
+
 # 8
 def test_warc(spark, tmp_path, monkeypatch):
     big = "<html>" + "é" * 100 + "</html>"
