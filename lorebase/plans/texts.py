@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -191,13 +190,8 @@ every AS (SELECT id, block, 0 AS pos, body FROM ch WHERE NOT over UNION ALL SELE
 @query(with_more(_BLOCKS, "SELECT id, (row_number() OVER (PARTITION BY id ORDER BY block, pos))::INT AS part, sha256(body) AS hash FROM every").replace("WITH ", "WITH RECURSIVE ", 1))
 def split_chunks(spark, sf):
     """Every chunk of every memory, split small, by its hash."""
-
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return pd.Series([splitting.split_content(x, _SMALL, _TARGET) for x in s], dtype=object)
-
-    rows = views.memories(spark, sf).select("id", F.posexplode(cut(_content())).alias("at", "body"))
-    return rows.select("id", (F.col("at") + 1).alias("part"), T.text_hash(F.col("body")).alias("hash"))
+    rows = splitting.pieces(views.memories(spark, sf), lambda x: splitting.split_content(x, _SMALL, _TARGET))
+    return rows.select("id", "part", T.text_hash(F.col("body")).alias("hash"))
 
 
 _PARAGRAPHS = f"""pa AS (SELECT id, 0 AS k, string_split(content, chr(10) || chr(10)) AS parts FROM memories WHERE length(content) > {K.CHUNK_CHARS}),
@@ -210,8 +204,8 @@ every AS (SELECT id, a, pos, substr(body, pos + 1, {K.CHUNK_CHARS}) AS body FROM
 @query(with_more(_PARAGRAPHS, "SELECT id, (row_number() OVER (PARTITION BY id ORDER BY a, pos))::INT AS part, sha256(body) AS hash FROM every").replace("WITH ", "WITH RECURSIVE ", 1))
 def ingest_chunks(spark, sf):
     """Every chunk that ingest would store of every text, by its hash."""
-    rows = views.memories(spark, sf).select("id", F.posexplode(splitting.chunk_udf(_content())).alias("at", "body"))
-    return rows.select("id", (F.col("at") + 1).alias("part"), T.text_hash(F.col("body")).alias("hash"))
+    rows = splitting.pieces(views.memories(spark, sf), lambda x: splitting.chunk_text(x or ""))
+    return rows.select("id", "part", T.text_hash(F.col("body")).alias("hash"))
 
 
 @query(with_more("n AS (SELECT id, string_split(content, chr(10)) AS x FROM memories), m AS (SELECT id, x, len(x) AS n, greatest(2, len(x) // 3) AS o FROM n)", "SELECT id, sha256(array_to_string(x[1:(n + o) // 2], chr(10))) AS first_half, sha256(array_to_string(x[greatest(1, (n + o) // 2 - o + 1):n], chr(10))) AS second_half FROM m"))
